@@ -1,0 +1,15 @@
+"""Registry of the operator queries of this subpackage and of their SQL."""
+
+from . import decontaminate as _decontaminate
+
+
+def queries() -> dict:
+    return {
+        "op6_decontaminate": _decontaminate.op6_decontaminate,
+    }
+
+
+def oracle_sql() -> dict:
+    return {
+        "op6_decontaminate": _decontaminate.OP6_SQL,
+    }

@@ -1,11 +1,21 @@
 """Registry of the operator queries of this subpackage and of their SQL."""
 
 from . import decontaminate as _decontaminate
+from . import language_id as _language_id
+from . import quality as _quality
+from . import sentencepiece_codec as _sentencepiece
+from . import simhash as _simhash
+from . import substring_dedup as _substring
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": _language_id.op1_language_id,
+        "op3_sentencepiece": _sentencepiece.op3_sentencepiece,
+        "op5_quality": _quality.op5_quality,
         "op6_decontaminate": _decontaminate.op6_decontaminate,
+        "op7_substring_dedup": _substring.op7_substring_dedup,
+        "op8_simhash": _simhash.op8_simhash,
     }
 
 

@@ -65,3 +65,20 @@ def unique_name(df: DataFrame, base: str) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+def split_join(rows: DataFrame, counts: DataFrame, key: str, freq: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to counts (one row per key) on `key`, safe against hot keys.
+
+    `freq` is the column of counts that tells how many of the `total` rows have the key. Keys with more than
+    max(1000, total / BROADCAST_ROWS) of them are at most BROADCAST_ROWS in number and are broadcast; the others are
+    joined by shuffle, where no key has more rows than that. counts should be stored. Rows whose key is absent stay only
+    if how is "left".
+    """
+    limit = max(1000, total // BROADCAST_ROWS)
+    hot = counts.where(F.col(freq) > limit).drop(freq)
+    cold = counts.where(F.col(freq) <= limit).drop(freq)
+    keys = F.broadcast(hot.select(key))
+    big = rows.join(F.broadcast(hot), key)
+    rest = rows.join(keys, key, "left_anti").join(cold, key, how)
+    return big.unionByName(rest)

@@ -39,10 +39,11 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(language, training text), by language; bounded by the constants above."""
-    ids = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")  # Spark limits each task's rows before the exchange
     ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
-    langs = docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
     ids = ids.join(F.broadcast(langs), "lang", "left_semi")  # at most MAX_LANGUAGES * SAMPLE_DOCS rows
     text = F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")
     rows = docs.select("doc_id", "lang", text).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where("text IS NOT NULL").distinct()

@@ -3,9 +3,10 @@
 Base rules: a text with under `MIN_WORDS` words, or whose repeated 8-word windows cover over 30% of its words, fails.
 Method: the statistics of every document are transformed (logarithms and shares) and, per language and source, their
 minimum-covariance-determinant centre and scatter are estimated: from medians and median deviations, `C_STEPS`
-concentration steps each keep the `SUBSET` share of documents that lie nearest and take mean and covariance anew.
-The scatter is scaled so that the median distance is that of a normal sample. A document is rejected if its squared
-Mahalanobis distance is over `CUTOFF`. Groups under `MIN_GROUP` documents use the estimate of all documents together.
+concentration steps each keep the half of the documents that lie nearest and take mean and covariance anew, times
+`CONSISTENCY`, so outliers (copies too) may make up any share under a half. Where the median squared distance is still
+over that of a normal sample, the scatter is scaled up to it; it is never scaled down, which would undo the floors. A
+document is rejected if its squared Mahalanobis distance is over `CUTOFF`. Groups under `MIN_GROUP` documents use the estimate of all documents together.
 
 All sums, quantiles (mergeable sketches, relative rank error 1/10,000) and moments are partial aggregates, so a hot
 group costs no more than its rows. Window equality is that of 64-bit hashes of words.
@@ -25,7 +26,9 @@ from .decontaminate import kgram_hashes
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: Transformed statistics in order, each with the least standard deviation that is taken for it.
 FLOORS = {"x1": 0.5, "x2": 0.15, "x3": 0.1, "x4": 0.05, "x5": 0.06}
-SUBSET, C_STEPS, MIN_GROUP = 0.75, 3, 50
+SUBSET, C_STEPS, MIN_GROUP = 0.5, 3, 50
+#: Covariance of a 5-dimensional normal sample over that of its nearest half: 0.5 / P(chi-square with 7 degrees < MEDIAN).
+CONSISTENCY = 1.9123
 #: Chi-square with 5 degrees of freedom: median, and the 1 - 1e-9 quantile.
 MEDIAN, CUTOFF = 4.3515, 53.0
 X = list(FLOORS)
@@ -135,7 +138,7 @@ def outliers(stats: DataFrame) -> DataFrame:
         near = _with_distance(fit, small(estimate))
         limit = stored(near.groupBy("group").agg(F.percentile_approx("d2", SUBSET, ACCURACY).alias("limit")))
         kept = near.join(small(limit), "group").where("d2 <= limit")
-        moments = kept.groupBy("group").agg(*[F.avg(x).alias(f"m_{x}") for x in X], *[F.covar_pop(X[i], X[j]).alias(f"s_{i}_{j}") for i, j in PAIRS])
+        moments = kept.groupBy("group").agg(*[F.avg(x).alias(f"m_{x}") for x in X], *[(F.covar_pop(X[i], X[j]) * CONSISTENCY).alias(f"s_{i}_{j}") for i, j in PAIRS])
         estimate = stored(_factor(moments))
     scale = stored(_with_distance(fit, small(estimate)).groupBy("group").agg(F.greatest(F.percentile_approx("d2", 0.5, ACCURACY) / MEDIAN, F.lit(1.0)).alias("scale")))
     out = _with_distance(df, small(estimate)).join(small(scale), "group")

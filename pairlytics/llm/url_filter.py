@@ -6,8 +6,8 @@ runs along host links (personalised PageRank), distrust against them; mass of ho
 seeds. A host is blocked if its distrust exceeds `THRESHOLD` of both together; a host that neither reaches is allowed.
 
 Pages are aggregated to hosts and links to host pairs before any shuffle, so a hot host costs no more than its rows.
-Ranks stay distributed; each round is written to the shared folder. Rounds end when the ranks move by less than
-`TOLERANCE` of their total, after `ROUNDS` at most.
+Ranks stay distributed; each round is written to the shared folder. Rounds end when no new host was reached and no
+host's rank moved by `TOLERANCE` of itself, however small it is beside the seeds'. Damping makes that certain to happen.
 
 Cases: null urls and those without `://` have empty host and path, no rule, and are allowed; null html has no links;
 links that repeat count once a page; links within a host don't count; repeated pages each get a row and a unit; an
@@ -16,13 +16,17 @@ empty table gives no rows; other columns aren't looked at.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, stored, table
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 60, 1e-3, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-3, 0.5
+#: None: as many rounds as it takes; a number stops them early.
+ROUNDS: int | None = None
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -53,16 +57,17 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         return rank
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     share = stored(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    for _ in range(ROUNDS):
+    for _ in count() if ROUNDS is None else range(ROUNDS):
         moved = share.join(rank.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host"))
         moved = stored(moved.agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("got")))
         back = (total - (moved.agg(F.sum("got")).first()[0] or 0.0)) / total
         new = moved.join(seeds, "host", "full").select("host", (F.coalesce("got", F.lit(0.0)) + F.coalesce("mass", F.lit(0.0)) * back).alias("rank"))
         new = stored(new)
         old = rank.withColumnRenamed("rank", "old")
-        change = new.join(old, "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+        moves = F.when(F.col("old").isNull(), 1.0).when(F.col("rank") == F.col("old"), 0.0).otherwise(F.abs(F.col("rank") - F.col("old")) / F.greatest("rank", "old"))
+        change = new.join(old, "host", "left").agg(F.max(moves)).first()[0]  # hosts once reached stay reached
         rank = new
-        if change < TOLERANCE * total:
+        if change < TOLERANCE:
             break
     return rank
 

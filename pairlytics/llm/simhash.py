@@ -193,31 +193,52 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _roots(nodes: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fp in nodes; root is the component's smallest fingerprint."""
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sharded = _shards(nodes).repartition(partitions, "key").sortWithinPartitions("key")
+    links = stored(sharded.mapInArrow(_links, "a long, b long"))
+    roots = components(links)
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable over links."""
     prints = stored(fingerprints(docs))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = _shards(nodes).repartition(partitions, "key").sortWithinPartitions("key")
-    links = stored(sharded.mapInArrow(_links, "a long, b long"))
-    roots = components(links)
-    of_root = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    of_root = _roots(nodes).select("fp", "rep", "root")
     lowest = of_root.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = of_root.join(lowest, "root").select("fp", "component_id")
     return prints.join(small(stored(named)), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) whose id names their component: one of each group, by its smallest id.
+    """The documents (all columns), one row of each component: the first by doc_id (nulls last), then by the text's hash.
 
-    Rows that repeat that id are repeated copies, so one row of each id stays.
+    A row's key is its doc_id and the SHA-256 of its text, so rows that share an id are judged by their own text. Rows
+    alike in both are copies: the least of their other columns stays.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(small(stored(keep)), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if (twice := stored(twice)).isEmpty():
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    # a text's fingerprint and key come from one row: the key passes through in the id's place
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", sha.alias("sha"), F.col("text").isNull().alias("none")).alias("doc_id"), "text")
+    prints = stored(fingerprints(keyed))
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    firsts = stored(_roots(nodes).groupBy("root").agg(F.min("rep").alias("k")).select("k.*"))
+    firsts = firsts.select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"), F.col("none").alias("k_none"))
+    mine = docs["doc_id"].eqNullSafe(F.col("k_id")) & (sha == F.col("k_sha")) & (F.col("text").isNull() == F.col("k_none"))
+    kept = docs.join(small(firsts), mine, "left_semi")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    twice = kept.groupBy("doc_id", sha.alias("sha"), F.col("text").isNull().alias("none")).count().where("count > 1")
+    if (twice := stored(twice.select(F.col("doc_id").alias("t_id"), F.col("sha").alias("t_sha"), F.col("none").alias("t_none")))).isEmpty():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    again = kept["doc_id"].eqNullSafe(F.col("t_id")) & (sha == F.col("t_sha")) & (F.col("text").isNull() == F.col("t_none"))
+    rest = kept.join(small(twice), again, "left_anti").select(*names)
+    copies = kept.join(small(twice), again, "left_semi").groupBy("doc_id", "text")
+    if not others:
+        return rest.unionByName(copies.agg(F.lit(1)).select(*names))
+    least = copies.agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("least_of_row"))
+    return rest.unionByName(least.select("doc_id", "text", "least_of_row.*").select(*names))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

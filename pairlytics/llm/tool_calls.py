@@ -13,7 +13,7 @@ One row per turn and per linked result, ordered by (conv_id, call_turn, kind, le
 one conversation may hold any share of the rows. JSON is canonical: keys sorted, no white space.
 
 Cases: null text is an empty message; null conv_id, turn or role are kept; text that isn't valid JSON is plain;
-repeated rows each get a row, and repeated identifiers status `ambiguous`; an empty table gives no rows.
+`tool_calls` that isn't an array of objects gives no calls, but the whole text and the error `malformed tool_calls`; repeated rows each get a row, and repeated identifiers status `ambiguous`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,17 +39,28 @@ def _types(v):
 
 
 def parsed(turns: DataFrame) -> DataFrame:
-    """uid, conv_id, turn, role, text, v (variant, null unless the text is a JSON object with calls or a call's id)."""
+    """uid, conv_id, turn, role, text, json (the text, null unless it is a JSON object with a list of calls or a call's id) and malformed.
+
+    malformed: `tool_calls` is there, but isn't an array of objects or null; then it gives no calls and the text stays as it is.
+    """
     looks = F.col("text").rlike(r"(?s)^\s*\{.*\"tool_call(?:s|_id)\"")
     df = turns.select(F.monotonically_increasing_id().alias("uid"), "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    return stored(df.withColumn("json", F.when(looks, F.col("text"))))
+    df = df.withColumn("v", F.when(looks, F.try_parse_json("text")))
+    kind = lambda path: F.coalesce(_types(F.try_variant_get("v", path, "variant")), F.lit("null"))
+    items = F.from_json(F.to_json(F.try_variant_get("v", "$.tool_calls", "variant")), "array<string>")
+    df = df.select(*[c for c in df.columns if c != "v"], kind("$").alias("whole"), kind("$.tool_calls").alias("calls"), kind("$.tool_call_id").alias("result"), F.when(looks, items).alias("items"))
+    objects = (F.col("calls") == "array") & F.coalesce(F.forall("items", lambda x: F.coalesce(x.startswith("{"), F.lit(False))), F.lit(False))
+    given = (F.col("whole") == "object") & ((F.col("calls") != "null") | (F.col("result") != "null"))
+    malformed = given & (F.col("calls") != "null") & ~objects
+    df = df.withColumn("malformed", malformed).withColumn("json", F.when(given & (~F.col("malformed") | (F.col("result") != "null")), F.col("text")))
+    return stored(df.select("uid", "conv_id", "turn", "role", "text", "json", "malformed"))
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
     """uid, conv_id, call_turn, call_index, call_id, name, arguments (JSON text of the object, null if none)."""
     one = "struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>"
     calls = F.from_json("json", f"struct<tool_calls:array<{one}>>")["tool_calls"]
-    df = messages.where("json IS NOT NULL").select("uid", "conv_id", F.col("turn").alias("call_turn"), F.posexplode(calls).alias("call_index", "c"))
+    df = messages.where("json IS NOT NULL AND NOT malformed").select("uid", "conv_id", F.col("turn").alias("call_turn"), F.posexplode(calls).alias("call_index", "c"))
     return df.select("uid", "conv_id", "call_turn", "call_index", F.col("c.id").alias("call_id"), F.coalesce("c.name", "c.function.name").alias("name"), F.coalesce("c.arguments", "c.function.arguments").alias("arguments"))
 
 
@@ -114,12 +125,14 @@ def link(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     status = F.when((F.col("n_calls") > 1) | (F.col("n_results") > 1), "ambiguous").when(F.col("n_calls").isNull(), "no call").when(F.col("n_results").isNull(), "no result").otherwise("linked")
     both = small(both.withColumn("status", status))
     none = F.array().cast("array<string>")
+    wrong = F.when(F.col("malformed"), F.array(F.lit("malformed tool_calls"))).otherwise(none)
+    body = F.when(F.col("json").isNull() | F.col("malformed"), F.col("text")).otherwise(F.coalesce("content", F.lit("")))
     canonical = lambda *pairs: F.to_json(F.parse_json(F.to_json(F.struct(*pairs), {"ignoreNullFields": "false"})))
 
     plain = said.where("call_id IS NULL").select(
         "conv_id", F.col("turn").alias("call_turn"), F.lit(0).alias("kind"), F.lit(0).alias("level"), F.lit(0).alias("call_index"), "turn", "role",
-        F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("status"), none.alias("errors"),
-        canonical(F.when(F.col("json").isNull(), F.col("text")).otherwise(F.coalesce("content", F.lit(""))).alias("content"), F.col("role")).alias("json"),
+        F.lit(None).cast("string").alias("call_id"), F.lit("message").alias("status"), wrong.alias("errors"),
+        canonical(body.alias("content"), F.col("role")).alias("json"),
     )
     out = calls.join(both.select("conv_id", "call_id", "status"), ["conv_id", "call_id"], "left")
     args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.col("arguments"))
@@ -129,7 +142,7 @@ def link(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     )
     got = results.join(both, ["conv_id", "call_id"], "left").select(
         "conv_id", F.coalesce("of_turn", "turn").alias("call_turn"), F.lit(2).alias("kind"), F.col("of_level").alias("level"), F.coalesce("of_index", F.lit(0)).alias("call_index"), "turn", "role", "call_id",
-        F.coalesce("status", F.lit("no call")).alias("status"), none.alias("errors"), canonical(F.coalesce("content", F.lit("")).alias("content"), F.col("role"), F.col("call_id").alias("tool_call_id")).alias("json"),
+        F.coalesce("status", F.lit("no call")).alias("status"), wrong.alias("errors"), canonical(body.alias("content"), F.col("role"), F.col("call_id").alias("tool_call_id")).alias("json"),
     )
     return plain.unionByName(called).unionByName(got)
 

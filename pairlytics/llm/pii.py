@@ -1,8 +1,10 @@
 """Personal data: keyed, type-consistent surrogates (DataFrame functions only).
 
 Detected: e-mail addresses, IPv4 addresses, payment card numbers (13 to 19 digits with a valid check digit), phone
-numbers in international form, secrets (a token, key or password assigned a long value) and names after a gendered
-title. Each distinct entity (type and canonical form: e-mail addresses without case) gets a surrogate drawn from a
+numbers in international form, secrets (a token, key or password assigned a long value, to its end, dotted parts
+too) and names after a gendered title. In a run of digit groups, every span of whole groups that makes a card number
+is one; spans that overlap are replaced together, so none is left in clear. Each distinct entity (type and canonical
+form: e-mail addresses without case, cards and phones as their digits, shown in the format as written) gets a surrogate drawn from a
 keyed hash: letters stay letters of their case, digits digits, card numbers keep a valid check digit, IPv4
 octets stay octets, names keep gender and script (Latin, Cyrillic, Greek). The same entity has the same surrogate in
 all documents; two entities never share one and no surrogate is an entity of the input: those that would are drawn
@@ -27,12 +29,15 @@ from .common import small, split_join, stored, table, unique_name
 KEY = "surrogate-key-1"
 MAX_ATTEMPTS = 40
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία", "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
-#: In order: at a place, the first that fits wins.
+OCTETS = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
+VALUE = "[A-Za-z0-9_/+=~-]"
+CARD_DIGITS = (13, 19)
+#: In order: at a place, the first that fits wins. A card is a whole run of digit groups, up to an IPv4 address.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_?key|access_?key)(?-i)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{16,512}",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_?key|access_?key)(?-i)[ ]?[=:][ ]?[\"']?" + rf"(?:{VALUE}{{1,64}}\.){{0,4}}{VALUE}{{16,}}+(?:\.{VALUE}++)*+",
+    "ip": rf"(?<![0-9.]){OCTETS}",
+    "card": rf"(?<![0-9])[0-9](?:(?:[ -](?!{OCTETS}))?[0-9]){{12,}}+",
     "phone": r"(?<![0-9A-Za-z])\+[0-9](?:[ ().-]{0,2}[0-9]){6,13}(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
@@ -51,7 +56,49 @@ def _kind(e: Column) -> Column:
 
 
 def _canonical(e: Column, kind: Column) -> Column:
-    return F.when(kind == "email", F.lower(e)).otherwise(e)
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    return F.when(kind == "email", F.lower(e)).when(kind.isin("card", "phone"), digits).otherwise(e)
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once however often lambdas in body use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _card_pieces(run: Column) -> Column:
+    """A run of digit groups cut into structs (s, card): maximal spans of overlapping card numbers, and what lies between."""
+    groups, gaps = F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), F.regexp_extract_all(run, F.lit("[0-9]([ -]|$)"), F.lit(1))
+    return _bound(F.struct(groups.alias("groups"), gaps.alias("gaps")), lambda x: _spans(x["groups"], x["gaps"]))
+
+
+def _spans(groups: Column, gaps: Column) -> Column:
+    low, high = CARD_DIGITS
+
+    def furthest(_: Column, i: Column) -> Column:
+        """End of the longest card number from group i on, 0 if there is none; each group has a digit at least."""
+        joined = F.transform(F.sequence(F.lit(1), F.lit(high)), lambda k: F.struct((i + k).alias("end"), F.array_join(F.slice(groups, i + 1, k), "").alias("d")))
+        valid = F.filter(joined, lambda x: F.length(x["d"]).between(low, high) & F.call_function("luhn_check", x["d"]))
+        return F.coalesce(F.array_max(F.transform(valid, lambda x: F.least(x["end"], F.size(groups)))), F.lit(0))
+
+    none = F.array().cast("array<struct<s:string,card:boolean>>")
+    start = F.struct(none.alias("out"), F.lit("").alias("s"), F.lit(False).alias("card"), F.lit(0).alias("reach"), F.lit(0).alias("tail"), F.lit(0).alias("i"))
+
+    def step(a: Column, g: Column) -> Column:
+        card = F.greatest(a["reach"], g["end"]) > a["i"]
+        # a new span begins where no former one reaches, or where the span's first card ends and another begins
+        cut = (card != a["card"]) | (card & ((a["reach"] <= a["i"]) | ((a["tail"] == a["i"]) & (g["end"] > a["i"]))))
+        text = F.concat(g["d"], g["gap"])
+        out = F.when(cut & (a["s"] != ""), F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["card"].alias("card"))))).otherwise(a["out"])
+        return F.struct(out.alias("out"), F.when(cut, text).otherwise(F.concat(a["s"], text)).alias("s"), card.alias("card"), F.greatest(a["reach"], g["end"]).alias("reach"), F.when(cut, g["end"]).otherwise(a["tail"]).alias("tail"), (a["i"] + 1).alias("i"))
+
+    zipped = F.transform(groups, lambda d, i: F.struct(d.alias("d"), F.coalesce(F.get(gaps, i), F.lit("")).alias("gap"), furthest(d, i).alias("end")))
+    return F.aggregate(zipped, start, step, lambda a: F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["card"].alias("card")))))
+
+
+def _formatted(e: Column, digits: Column) -> Column:
+    """e with its digits replaced by `digits` in order."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(e, F.lit(1), i + 1), "[^0-9]", ""))
+    return _bound(digits, lambda d: F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(d, place(i), F.lit(1))).otherwise(c)), ""))
 
 
 def _number(seed: Column, i: Column | int, n: int) -> Column:
@@ -82,10 +129,11 @@ def surrogate(e: Column, kind: Column, seed: Column) -> Column:
     assigned = F.regexp_extract(e, r"^(\w+ ?[=:] ?[\"']?)", 1)
     secret = F.concat(assigned, _scrambled(F.regexp_replace(e, r"^\w+ ?[=:] ?[\"']?", ""), seed))
     ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_number(seed, i, 254) + 1).cast("string")), ".")
-    head = _scrambled(F.regexp_extract(e, r"^(.*)[0-9]$", 1), seed)  # the last digit makes the number valid
-    digits = F.regexp_replace(head, "[^0-9]", "")
-    valid = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: F.call_function("luhn_check", F.concat(digits, d)))
-    card = F.concat(head, valid[0])
+    plain = F.regexp_replace(e, "[^0-9]", "")
+    head = _scrambled(F.regexp_extract(plain, r"^(.*)[0-9]$", 1), seed)  # the last digit makes the number valid
+    digit = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))
+    card = _formatted(e, _bound(head, lambda h: F.concat(h, F.get(F.filter(digit, lambda d: F.call_function("luhn_check", F.concat(h, d))), 0))))
+    phone = _formatted(e, _scrambled(plain, seed))
     female = e.rlike(rf"^(?:{FEMALE})\.? ")
     bare = F.regexp_replace(e, TITLE, "")
     script = F.when(bare.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
@@ -101,7 +149,7 @@ def surrogate(e: Column, kind: Column, seed: Column) -> Column:
         return out
 
     name = F.concat(F.regexp_extract(e, f"({TITLE})", 1), F.array_join(F.transform(F.split(bare, " "), made), " "))
-    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", name).otherwise(_scrambled(e, seed))
+    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", name).otherwise(phone)
 
 
 def _seed(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -139,14 +187,22 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     marked = docs.select("text").where(text.rlike(PATTERN))
     found = stored(marked.select(F.xxhash64("text").alias("tk"), F.sha2("text", 256).alias("tk2"), F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("es")).distinct())
     each = found.select("tk", "tk2", F.explode("es").alias("e")).withColumn("kind", _kind(F.col("e")))
-    each = each.where((F.col("kind") != "card") | F.call_function("luhn_check", F.regexp_replace("e", "[^0-9]", "")))
-    each = each.select("tk", "tk2", "e", "kind", _canonical(F.col("e"), F.col("kind")).alias("canonical"))
+    whole = F.array(F.struct(F.col("e").alias("s"), F.lit(True).alias("card")))
+    pieces = stored(each.select("tk", "tk2", "e", "kind", F.posexplode(F.when(F.col("kind") == "card", _card_pieces(F.col("e"))).otherwise(whole)).alias("at", "p")))
+    gap = F.when(F.col("kind") == "card", F.regexp_extract("p.s", "([ -]?)$", 1)).otherwise("")  # behind a card's last group
+    each = pieces.where("p.card").select("tk", "tk2", "e", "at", "kind", F.expr("p.s").alias("p"), gap.alias("gap"))
+    each = each.withColumn("p", F.when(F.col("gap") != "", F.expr("substring(p, 1, length(p) - 1)")).otherwise(F.col("p")))
+    each = each.select("tk", "tk2", "e", "at", "p", "gap", "kind", _canonical(F.col("p"), F.col("kind")).alias("canonical"))
     each = stored(each.withColumn("k", F.sha2(F.concat_ws("\x00", "kind", "canonical"), 256)))
     freq = each.groupBy("kind", "canonical", "k").agg(F.count("*").alias("n"))
     named = stored(surrogates(stored(freq.select("kind", "canonical")), key).join(freq, ["kind", "canonical"]).select("k", "seed", "n"))
     total = each.count()
-    given = split_join(each, named, "k", "n", total).select("tk", "tk2", "e", surrogate(F.col("e"), F.col("kind"), F.col("seed")).alias("s"))
-    maps = stored(given.groupBy("tk", "tk2").agg(F.map_from_entries(F.collect_list(F.struct("e", "s"))).alias("m")))
+    given = split_join(each, named, "k", "n", total).select("tk", "tk2", "e", "at", F.concat(surrogate(F.col("p"), F.col("kind"), F.col("seed")), "gap").alias("s"), F.lit(1).alias("n"))
+    runs = each.where("kind = 'card'").select("tk", "tk2", "e").distinct()
+    between = pieces.where("kind = 'card' AND NOT p.card").join(runs, ["tk", "tk2", "e"], "left_semi").select("tk", "tk2", "e", "at", F.expr("p.s").alias("s"), F.lit(0).alias("n"))
+    by_run = given.unionByName(between).repartition("tk", "tk2").groupBy("tk", "tk2", "e").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("ps"), F.sum("n").alias("n"))
+    by_run = by_run.select("tk", "tk2", "e", F.struct(F.array_join("ps.s", "").alias("s"), "n").alias("v"))
+    maps = stored(by_run.groupBy("tk", "tk2").agg(F.map_from_entries(F.collect_list(F.struct("e", "v"))).alias("m")))
 
     m = unique_name(docs, "pii_map")
     maps = maps.select(F.col("tk").alias("_m_tk"), F.col("tk2").alias("_m_tk2"), F.col("m").alias(m))
@@ -154,9 +210,9 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     size = maps.agg(F.sum(F.length(F.to_json(m)))).first()[0] or 0
     out = docs.join(F.broadcast(maps) if size <= 16 << 20 else maps, same, "left")
     parts, es = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    put = lambda e: F.coalesce(F.element_at(F.col(m), e), e)
+    put = lambda e: F.coalesce(F.element_at(F.col(m), e)["s"], e)
     whole = F.array_join(F.zip_with(parts, es, lambda p, e: F.concat(p, F.when(e.isNull(), "").otherwise(put(e)))), "")
-    n = F.size(F.filter(es, lambda e: F.map_contains_key(F.col(m), e))).cast("long")
+    n = F.aggregate(es, F.lit(0).cast("long"), lambda a, e: a + F.coalesce(F.element_at(F.col(m), e)["n"], F.lit(0).cast("long")))
     touched = F.col(m).isNotNull()
     return out.select(*[docs[c] for c in docs.columns], F.when(touched, whole).otherwise(text).alias("pii_text"), F.when(touched, n).otherwise(0).cast("long").alias("pii_count"))
 

@@ -5,8 +5,8 @@ each automaton: it is cut, from left to right, into the longest phrases that occ
 phrases, each worth log2(sample length) bits, give bits per character; the language with the fewest wins. The score
 is the margin to the second best, as a share of it (0 to 1).
 
-Sample, the only bounded part: for each language the `SAMPLE_DOCS` labelled training documents with the smallest
-hash of their id, of each the first `SAMPLE_DOC_CHARS` characters, and of those together `SAMPLE_CHARS`. At most
+Sample, the only bounded part: for each language the `SAMPLE_DOCS` labelled training documents with a letter in
+that part and the smallest hash of their id, of each the first `SAMPLE_DOC_CHARS` characters, and of those together `SAMPLE_CHARS`. At most
 `MAX_LANGUAGES` languages, the most frequent ones. Predictions read whole texts and nothing but texts.
 
 All texts of an Arrow batch are parsed side by side: one NumPy step moves every (text, language) pair one
@@ -39,7 +39,8 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(language, training text), by language; bounded by the constants above."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    learnable = F.substring("text", 1, SAMPLE_DOC_CHARS).rlike(r"\p{L}")  # null or letterless texts take no place
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & learnable)
     ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")  # Spark limits each task's rows before the exchange
     ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows (of a few dozen bytes each) up to which a side may be broadcast; above it joins shuffle.
 BROADCAST_ROWS = 200_000
 
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+DEFAULTS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "64m"}
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,20 +27,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, only a local master may go on, with a new folder of its own (tests); on a cluster no executor
+    would see the driver's folder.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+@contextmanager
+def settings_of_jobs(spark: SparkSession):
+    """For the queries inside: shuffle files go when a query ends (what it gave is written by then), and Python gets small batches."""
+    before = {k: spark.conf.get(k, v) for k, v in DEFAULTS.items()}
+    try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairlytics-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings_of_jobs(spark):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that `stored` gave, once all that reads them is written itself."""
+    for t in tables:
+        drop_path(t.sparkSession, t.stored_at)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,32 +5,40 @@ the whole corpus less the scored document's own, so a document is judged by the
 log10(c(abc)/c(ab)) if that trigram occurs elsewhere, else log10(ALPHA c(bc)/c(b)), else log10(ALPHA^2 c(c)/N), where
 an unseen word counts `UNSEEN`. The score of a document is the mean over its words.
 
-Each task turns its texts into one row per document and distinct n-gram (64-bit hashes). Count tables are aggregated
-from these rows, partitioned by hash, and joined back level by level: trigrams tell which contexts and which bigrams
-to ask for, these which unigrams. Requests are summed per document and n-gram before each join. N-grams that very
-many documents have are joined by a broadcast whose size is bounded (`split_join`), the others by shuffle. Nothing is
-gathered: all tables grow with the corpus and stay distributed.
-
-Cases: a null or empty text has no words and score null; repeated rows are distinct documents with equal scores (each
-counts for the others); with a single document every word is unseen; null doc_id is kept; an empty table gives no rows.
+Equal texts are one row with a number of copies. Texts are cut into blocks of about `BLOCK_BYTES`; a block is exploded
+into one row per distinct n-gram (a 64-bit hash), so even the commonest n-gram has at most one row per block and no key
+is hot. The rows are partitioned by hash once: grouped, they give the count table of the n-grams that several blocks
+have; joined to it, they bring the counts back to their blocks. A block has the counts of all its other n-grams itself.
+Trigrams follow in a second turn, and only those whose two bigrams other documents have: others can't occur elsewhere.
+Each block then sums its documents' words. All tables grow with the corpus and stay distributed; a task holds one block
+and its counts at a time. Tables are deleted once used.
+
+Cases: a null text or one without words has score null; repeated rows are distinct documents with equal scores (each
+counts for the others); with a single document every word is unseen; null doc_id is kept; a text of any length is
+scored whole (one over BLOCK_BYTES is a block by itself); columns other than doc_id and text, whatever their names,
+aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, stored, table
+from .common import drop_stored, split_join, stored, table
 
 ALPHA, UNSEEN = 0.4, 0.5
+BLOCK_BYTES, WAVES = 4 << 20, 4
 _START = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: A row has an n-gram's hash and, in one number, its block (upper bits) and how often it occurs there (lower TIMES_BITS).
+GRAMS, TIMES_BITS = "h long, v long", 19
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -38,81 +46,197 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _M1
 
 
-def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (row, n, h, m, ctx, low): m times the n-gram h, whose context and shorter n-gram are ctx, low.
-
-    For unigrams ctx and low are 0. The start marks count as contexts only.
-    """
-    digest = xxhash.xxh3_64_intdigest
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, copies) to (block, words, text, copies): consecutive texts of a task share a block until it is full."""
+    block, held = TaskContext.get().partitionId() << 20, 0
     for batch in batches:
-        for row, text in zip(batch.column(0), batch.column(1), strict=True):
-            words = (text.as_py() or b"").lower().split()
-            if not words:
-                continue
-            w = np.fromiter(map(digest, words), np.uint64, len(words))
-            p = np.concatenate([[_START, _START], w]).astype(np.uint64)
-            two = _mix(p[:-1], p[1:])  # the first is of both marks
-            three = _mix(two[:-1], p[2:])
-            out = []
-            for n, h, ctx, low in ((3, three, two[:-1], two[1:]), (2, two, p[:-1], p[1:]), (1, p[1:], None, None)):
-                u, first, m = np.unique(h, return_index=True, return_counts=True)
-                zero = np.zeros(len(u), np.uint64)
-                out.append((np.full(len(u), n, np.int32), u, m, ctx[first] if n > 1 else zero, low[first] if n > 1 else zero))
-            n, h, m, ctx, low = (np.concatenate(x) for x in zip(*out, strict=True))
-            cols = [pa.array(np.full(len(n), row.as_py(), np.int64)), pa.array(n), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (h, m, ctx, low))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "n", "h", "m", "ctx", "low"])
+        ids, words = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+        for i, text in enumerate(batch.column(0)):
+            content = text.as_buffer().to_pybytes()
+            size, words[i] = len(content), len(content.split())
+            if held and held + size > BLOCK_BYTES:
+                block, held = block + 1, 0
+            held += size
+            ids[i] = block
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words), *batch.columns], names=["block", "words", *batch.schema.names])
+
+
+class Block:
+    """The words of a block's texts: for each word its text, and the hashes of the n-grams that end in it."""
+
+    def __init__(self, texts: pa.ChunkedArray, copies: np.ndarray):
+        digest, parts = xxhash.xxh3_64_intdigest, []
+        for t in texts:
+            words = t.as_buffer().to_pybytes().lower().split()
+            w = np.empty(len(words) + 2, np.uint64)
+            w[:2] = _START
+            w[2:] = np.fromiter(map(digest, words), np.uint64, len(words))
+            parts.append(w)
+        self.n_words = np.array([len(p) - 2 for p in parts])
+        p = np.concatenate(parts)
+        ends = np.cumsum(self.n_words + 2)
+        inner = np.ones(len(p), bool)  # not a text's first mark, not its second
+        inner[ends - self.n_words - 2] = False
+        context = inner.copy()  # a text's second mark and its words: each is the context or the end of a bigram
+        inner[ends - self.n_words - 1] = False
+        two = np.empty_like(p)
+        two[1:] = _mix(p[:-1], p[1:])
+        at = np.flatnonzero(inner)
+        self.text = np.repeat(np.arange(len(parts)), self.n_words)
+        self.copies = copies
+        self.one, self.two, self.three = p[at], two[at], _mix(two[at - 1], p[at])
+        self.before_one, self.before_two = p[at - 1], two[at - 1]  # contexts of the bigram and of the trigram
+        marks = np.flatnonzero(context)  # counted n-grams: words and second marks, and the bigrams that end there
+        self.all_one, self.all_two = p[marks], two[marks]
+        self.all_text = np.repeat(np.arange(len(parts)), self.n_words + 1)
+
+
+def _summed(hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and the sums of their times."""
+    if (times == 1).all():
+        return np.unique(hashes, return_counts=True)
+    order = np.argsort(hashes)
+    sorted_ = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first], np.add.reduceat(times[order], first)
+
+
+def _rows(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    h, m = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    most = (1 << TIMES_BITS) - 1
+    if (m > most).any():  # what doesn't fit takes several rows
+        n = -(-m // most)
+        h, left = np.repeat(h, n), m - (n - 1) * most
+        m = np.full(len(h), most)
+        m[np.cumsum(n) - 1] = left
+    return pa.table({"h": h.view(np.int64), "v": (block << TIMES_BITS) | m.astype(np.int64)})
+
+
+def _grams(long_: bool):
+    """(block, text, copies), a block's rows side by side, to the block's distinct trigrams, or words and bigrams."""
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        b = Block(t.column("text"), t.column("copies").to_numpy())
+        times = b.copies[b.text if long_ else b.all_text]
+        yield from _rows(t.column("block")[0].as_py(), [_summed(b.three, times)] if long_ else [_summed(b.all_one, times), _summed(b.all_two, times)]).to_batches(1 << 18)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for a, z in zip(bounds, bounds[1:], strict=False):
+                if a == z:
+                    continue
+                if held and held[0].column(0)[0].as_py() != blocks[a]:
+                    yield from made(held)
+                    held = []
+                held.append(batch.slice(a, z - a))
+        if held:
+            yield from made(held)
+
+    return run
+
+
+class Counts:
+    """Counts of hashes outside a block, from the rows that came back to it."""
+
+    def __init__(self, back: pa.Table):
+        h = back.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.h, self.c = h[order], back.column("c").to_numpy()[order]
+        if len(h) and (twice := self.h[1:] == self.h[:-1]).any():  # a block that two tasks read has two rows a hash
+            keep = np.concatenate([[True], ~twice])
+            self.h, self.c = self.h[keep], self.c[keep]
+
+    def totals(self, h: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """Corpus counts of the sorted hashes h: those that came back, else the block's own."""
+        if not len(self.h):
+            return local
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.c[at], local)
+
+
+def _rest(hashes: np.ndarray, text: np.ndarray, copies: np.ndarray, counts: Counts) -> np.ndarray:
+    """For each place: the corpus count of its hash less those in one copy of its own text."""
+    order = np.argsort(hashes, kind="stable")  # equal hashes side by side, each text's together
+    h, t = hashes[order], text[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    new_text = new | np.concatenate([[True], t[1:] != t[:-1]])
+    first, first_text = np.flatnonzero(new), np.flatnonzero(new_text)
+    own = np.diff(np.append(first_text, len(h)))
+    local = np.add.reduceat(copies[t], first)
+    total = counts.totals(h[first], local)
+    rest = np.empty(len(h), np.int64)
+    rest[order] = np.repeat(total, np.diff(np.append(first, len(h)))) - np.repeat(own, np.diff(np.append(first_text, len(h))))
+    return rest
+
+
+def _block_scores(total: int):
+    def run(texts: pa.Table, back: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.table({"k": pa.array([], pa.binary()), **{c: pa.array([], pa.int64()) for c in ("copies", "n_words", "n_tri", "n_bi", "n_uni")}, "s": pa.array([], pa.float64())})
+        b, counts = Block(texts.column("text"), texts.column("copies").to_numpy()), Counts(back)
+        one = _rest(b.all_one, b.all_text, b.copies, counts)
+        two = _rest(b.all_two, b.all_text, b.copies, counts)
+        three = _rest(b.three, b.text, b.copies, counts)
+        starts = np.cumsum(b.n_words + 1) - b.n_words - 1
+        at = np.ones(len(one), bool)
+        at[starts] = False
+        at = np.flatnonzero(at)
+        c1, c2, before1, before2 = one[at], two[at], one[at - 1], two[at - 1]
+        n = np.maximum(1, total - b.n_words)[b.text]
+        tri, bi = three > 0, (three <= 0) & (c2 > 0)
+        some = lambda x: np.maximum(x, UNSEEN)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost = np.where(tri, np.log10(some(three)) - np.log10(some(before2)), np.where(bi, np.log10(ALPHA * some(c2)) - np.log10(some(before1)), np.log10(ALPHA**2 * some(c1)) - np.log10(n)))
+        summed = lambda x: np.bincount(b.text, weights=x, minlength=len(b.n_words))
+        n_tri, n_bi = (summed(x.astype(np.float64)).astype(np.int64) for x in (tri, bi))
+        return pa.table({"k": texts.column("k"), "copies": texts.column("copies"), "n_words": b.n_words.astype(np.int64), "n_tri": n_tri, "n_bi": n_bi, "n_uni": b.n_words - n_tri - n_bi, "s": summed(cost)})
+
+    return run
+
+
+def _returned(grams: DataFrame) -> DataFrame:
+    """(h, v, c): grams (h, v) that more than one block has, with their corpus counts c.
+
+    Both sides read one exchange by h, for which they need the same columns.
+    """
+    grams = grams.repartition("h")
+    block, times = F.shiftright("v", TIMES_BITS), F.col("v").bitwiseAND((1 << TIMES_BITS) - 1)
+    counts = grams.groupBy("h").agg(F.sum(times).alias("c"), F.min(block).alias("low"), F.max(block).alias("high")).where("low < high").select("h", "c")
+    return grams.join(counts, "h").select("h", "v", "c")
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_tri, n_bi, n_uni (words by the level that was used) and score of every document."""
-    given = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    given = stored(given)  # fixes the row numbers
-    kind = "row long, n int, h long, m long, ctx long, low long"
-    grams = stored(given.select("row", "text").mapInArrow(_ngrams, kind))
-    counts = stored(grams.groupBy("n", "h").agg(F.sum("m").alias("c"), F.count("*").alias("docs")))
-    totals = {r["n"]: (r["rows"], r["words"]) for r in counts.groupBy("n").agg(F.sum("docs").alias("rows"), F.sum("c").alias("words")).collect()}
-    marks = int(np.array([_START], np.uint64).view(np.int64)[0])
-    words = counts.where((F.col("n") == 1) & (F.col("h") != marks)).agg(F.sum("c")).first()[0] or 0
-    own_words = grams.where((F.col("n") == 1) & (F.col("h") != marks)).groupBy("row").agg(F.sum("m").alias("n_words"))
-
-    def level(n: int, rows: DataFrame) -> DataFrame:
-        c = counts.where(F.col("n") == n).select("h", "c", "docs")
-        return split_join(rows, c, "h", "docs", totals.get(n, (0, 0))[0]).withColumn("rest", F.col("c") - F.col("own"))
-
-    def asked(rows: DataFrame, n: int) -> DataFrame:
-        """Requests (row, h, as_ctx, as_back) summed and joined to the document's own n-grams."""
-        own = grams.where(F.col("n") == n).select("row", "h", F.col("m").alias("own"), "ctx", "low", F.lit(0).cast("long").alias("as_ctx"), F.lit(0).cast("long").alias("as_back"))
-        more = rows.select("row", "h", *[F.lit(None).cast("long").alias(x) for x in ("own", "ctx", "low")], "as_ctx", "as_back")
-        total = own.unionByName(more).groupBy("row", "h").agg(*[F.max(x).alias(x) for x in ("own", "ctx", "low")], F.sum("as_ctx").alias("as_ctx"), F.sum("as_back").alias("as_back"))
-        return total.where("as_ctx > 0 OR as_back > 0")
-
-    def requests(rows: DataFrame, seen, times: str) -> DataFrame:
-        """What a level asks of the next: its context where the n-gram was seen, else the shorter n-gram."""
-        one, none = F.col(times), F.lit(0).cast("long")
-        return rows.where(one > 0).select("row", F.when(seen, F.col("ctx")).otherwise(F.col("low")).alias("h"), F.when(seen, one).otherwise(none).alias("as_ctx"), F.when(seen, none).otherwise(one).alias("as_back"))
-
-    seen = F.col("rest") > 0
-    log = lambda c: F.log10(F.greatest(c, F.lit(UNSEEN)))
-    tri = stored(level(3, grams.where("n = 3").select("row", "h", F.col("m").alias("own"), "ctx", "low")))
-    parts = [tri.select("row", F.when(seen, F.col("own")).otherwise(0).alias("n_tri"), F.lit(0).alias("n_bi"), F.lit(0).alias("n_uni"), F.when(seen, F.col("own") * F.log10("rest")).otherwise(0.0).alias("s"))]
-    bi = stored(level(2, asked(requests(tri, seen, "own"), 2)))
-    back = F.col("as_back")
-    parts.append(bi.select(
-        "row", F.lit(0).alias("n_tri"), F.when(seen, back).otherwise(0).alias("n_bi"), F.lit(0).alias("n_uni"),
-        (F.when(seen, back * (F.log10("rest") + math.log10(ALPHA))).otherwise(0.0) - F.col("as_ctx") * log(F.col("rest"))).alias("s"),
-    ))
-    uni = level(1, asked(requests(bi, seen, "as_back"), 1)).join(own_words, "row")
-    n = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1))
-    parts.append(uni.select(
-        "row", F.lit(0).alias("n_tri"), F.lit(0).alias("n_bi"), back.alias("n_uni"),
-        (back * (log(F.col("rest")) + 2 * math.log10(ALPHA) - F.log10(n)) - F.col("as_ctx") * log(F.col("rest"))).alias("s"),
-    ))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    sums = every.groupBy("row").agg(*[F.sum(x).cast("long").alias(x) for x in ("n_tri", "n_bi", "n_uni")], F.sum("s").alias("s"))
-    out = given.select("row", "doc_id").join(sums, "row", "left")
-    counted = [F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n_tri", "n_bi", "n_uni")]
-    n_words = F.coalesce(F.col("n_tri") + F.col("n_bi") + F.col("n_uni"), F.lit(0).cast("long"))
-    return out.select("doc_id", n_words.alias("n_words"), *counted, F.round(F.col("s") / F.nullif(n_words, F.lit(0)), 5).alias("score"))
+    given = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    worded = given.where(docs["text"].rlike("[^\\x20\\x09-\\x0D]"))
+    texts = worded.groupBy("text").agg(F.count("*").alias("copies"))
+    texts = texts.mapInArrow(_in_blocks, "block long, words long, text binary, copies long").select("block", "words", "text", "copies", _key(F.col("text")).alias("k"))
+    texts = stored(texts, "zstd")
+    parts = texts.select("block", "text", "copies")
+    backs = [stored(_returned(parts.mapInArrow(_grams(long_), GRAMS)), "zstd") for long_ in (False, True)]
+    back = backs[0].unionByName(backs[1]).select(F.shiftright("v", TIMES_BITS).alias("block"), "h", "c")
+    total = texts.agg(F.sum(F.col("copies") * F.col("words"))).first()[0] or 0
+    kind = "k binary, copies long, n_words long, n_tri long, n_bi long, n_uni long, s double"
+    waves = []
+    for i in range(WAVES):
+        now = F.pmod(F.xxhash64("block"), F.lit(WAVES)) == i
+        both = texts.where(now).groupBy("block").cogroup(back.where(now).groupBy("block"))
+        waves.append(stored(both.applyInArrow(_block_scores(int(total)), kind)))
+    drop_stored(texts, *backs)
+    scores = reduce(DataFrame.unionByName, waves)
+    n_rows = scores.agg(F.sum("copies")).first()[0] or 0
+    keyed = given.select("doc_id", _key(F.coalesce("text", F.lit(b""))).alias("k"))
+    out = split_join(keyed, scores, "k", "copies", n_rows, "left")
+    counted = [F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n_words", "n_tri", "n_bi", "n_uni")]
+    return out.select("doc_id", *counted, F.round(F.col("s") / F.col("n_words"), 5).alias("score"))
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -65,6 +65,13 @@ def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def list_dir(spark: SparkSession, path: str) -> list[str]:
+    """Paths in a folder of the shared store; none if it doesn't exist."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().toString() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -206,7 +206,7 @@ def _returned(grams: DataFrame) -> DataFrame:
     grams = grams.repartition("h")
     block, times = F.shiftright("v", TIMES_BITS), F.col("v").bitwiseAND((1 << TIMES_BITS) - 1)
     counts = grams.groupBy("h").agg(F.sum(times).alias("c"), F.min(block).alias("low"), F.max(block).alias("high")).where("low < high").select("h", "c")
-    return grams.join(counts, "h").select("h", "v", "c")
+    return grams.join(counts.hint("shuffle_hash"), "h").select("h", "v", "c")
 
 
 def _key(text: Column) -> Column:

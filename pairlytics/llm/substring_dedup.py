@@ -9,9 +9,10 @@ is merge-joined with every run; documents that share a hash with another one are
 are then compared by two independent 64-bit hashes of all their words (the verification), and the smallest doc_id of
 each window decides. The batch becomes a new run; when there are `MAX_RUNS`, they are merged into one (compaction).
 
-Hashes are pre-aggregated (one row per hash and document), hot hashes are joined against one row per hash, so no
-window or group of copies is gathered in one task. Texts are shuffled once, and only those of candidates while
-their ids fit a checked broadcast.
+Equal texts count once: all but the one of the smallest doc_id are copies, which lose every window at once. Hashes are
+pre-aggregated (one row per hash and document), hot windows are joined by a broadcast of bounded size (`split_join`), so
+no window or group of copies is gathered in one task. Texts are shuffled once, and only those of candidates while
+their ids fit a checked broadcast. Tables are deleted once used. A call without an index makes one for itself.
 
 Cases: null text has no words; under SPAN words nothing is removed; within one document repeats stay; of rows that
 repeat a doc_id each is judged alone (neither is smaller); a null doc_id is never smaller and never judged; an empty
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small, stored, table
+from .common import drop_path, drop_stored, list_dir, settings_of_jobs, shared_dir, small, split_join, stored, table
 
 SPAN, K, MAX_RUNS = 13, 5, 4
 #: Ids of candidates that may be broadcast to keep other texts out of the shuffle (8 bytes each).
@@ -97,13 +99,15 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, windows to remove or null) to (doc_id, n_words, n_removed, kept)."""
+    """(doc_id, text, windows to remove or null, copy) to (doc_id, n_words, n_removed, kept); a copy loses each window."""
     for batch in batches:
         rows = []
-        for t, windows in zip(batch.column(1), batch.column(2), strict=True):
+        for t, windows, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
             words = (t.as_py() or b"").split()
             kept = words
-            if windows.is_valid:
+            if copy and len(words) >= SPAN:
+                kept = []
+            elif windows.is_valid:
                 at = np.flatnonzero(np.isin(gram_hashes(word_hashes(words), SPAN).view(np.int64), windows.values.to_numpy()))
                 edge = np.zeros(len(words) + 1, np.int32)
                 edge[at] += 1
@@ -115,16 +119,21 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (hash, doc_id) under `path`, in a folder that all executors share."""
+    """Sorted immutable runs of (hash, doc_id) under `path`, in a folder that all executors share.
+
+    An index over a folder that already has runs goes on with them. Runs are only ever added whole; a compaction that
+    was cut off leaves old and new runs, whose repeated rows change nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = MAX_RUNS):
         self.spark, self.max_runs = spark, max_runs
         self.path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        self.runs = [x for x in list_dir(spark, self.path) if x.rsplit("/", 1)[-1].startswith("run-") and any(y.endswith("/_SUCCESS") for y in list_dir(spark, x))]
 
     def _write(self, rows: DataFrame) -> str:
         run = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.select("h", "doc_id").sortWithinPartitions("h").write.parquet(run)
+        with settings_of_jobs(self.spark):
+            rows.select("h", "doc_id").sortWithinPartitions("h").write.parquet(run)
         return run
 
     def read(self, run: str) -> DataFrame:
@@ -136,64 +145,79 @@ class FingerprintIndex:
         older, self.runs = self.runs, [*self.runs, new]
         batch = self.read(new)
         found = [batch.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")]
-        for run in older:
-            found.append(batch.hint("merge").join(self.read(run).select("h"), "h", "left_semi").select("h"))
-        found = [stored(x.distinct()) for x in found]
+        if older:  # one merge join with all of them: each run's rows move once
+            history = self.rows(older).groupBy("h").agg(F.min("doc_id").alias("low"))
+            found.append(batch.groupBy("h").agg(F.max("doc_id").alias("high")).hint("merge").join(history, "h").select("h"))
+        found = [stored(x) for x in found]
         if len(self.runs) >= self.max_runs:
             self.compact()
         return found
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones are read to the end before the list changes."""
-        rows = self.read(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self.read(run))
-        self.runs = [self._write(rows.distinct())]
+        """Merge all runs into one, which is written to the end before the old ones go."""
+        old, self.runs = self.runs, [self._write(self.rows().distinct())]
+        for run in old:
+            drop_path(self.spark, run)
+
+    def rows(self, runs: list[str] | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.read(run) for run in runs or self.runs])
+
 
-    def rows(self) -> DataFrame:
-        rows = self.read(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self.read(run))
-        return rows
+def _copies(texts: DataFrame) -> DataFrame:
+    """(doc_id, k): the rows of texts (doc_id, text, k) whose text a smaller doc_id has, too."""
+    reps = stored(texts.where("doc_id IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    out = stored(split_join(texts.select("doc_id", "k"), reps, "k", "n", total).where("doc_id > low").select("doc_id", "k").distinct())
+    drop_stored(reps)
+    return out
 
 
-def deduplicate(docs: DataFrame, batches: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every document; kept: the words that stay, joined by one space.
 
-    The documents enter the index in `batches` batches of ascending doc_id.
+    The documents enter the index in `batches` batches of ascending doc_id. An index that earlier calls filled needs
+    their documents as `history`: windows are verified on the texts themselves.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    as_text = lambda df: df.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("k", F.unhex(F.md5("text")))
+    texts = as_text(docs)
+    known = texts if history is None else texts.unionByName(as_text(history))
+    copies = _copies(known)
+    few = small(copies, CANDIDATE_ROWS)
     span = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    index, shared = FingerprintIndex(spark), None
+    own = index is None
+    index, shared = index or FingerprintIndex(spark), []
+    none = F.lit(None).cast("array<long>")
+    kind = "doc_id long, n_words long, n_removed long, kept string"
+    copied = texts.join(few, ["doc_id", "k"], "left_semi").select("doc_id", "text", none.alias("windows"), F.lit(True).alias("copy"))
+    single = texts.join(few, ["doc_id", "k"], "left_anti")
     if span["a"] is not None:
         width = (span["b"] - span["a"]) // batches + 1
         for i in range(batches):
             low = span["a"] + i * width
-            part = texts.where((F.col("doc_id") >= low) & (F.col("doc_id") < low + width))
-            for found in index.add(part.mapInArrow(_minima, "h long, doc_id long")):
-                shared = found if shared is None else shared.union(found)
-    if shared is None:
-        return texts.mapInArrow(_plain, "doc_id long, n_words long, n_removed long, kept string")
-    shared = stored(shared.distinct())
-    per_doc = index.rows().join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("shared"))
-    per_doc = stored(per_doc)
-    chosen = texts.join(small(per_doc.select("doc_id"), CANDIDATE_ROWS), "doc_id", "left_semi")
-    windows = chosen.join(per_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(_shared_windows, "w1 long, w2 long, doc_id long")
-    windows = stored(windows)
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
-    gone = windows.join(first, ["w1", "w2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list("w1").alias("windows"))
-    gone = stored(gone)
-    ids = gone.select("doc_id")
-    none = F.lit(None).cast("array<long>")
-    touched = texts.join(small(ids, CANDIDATE_ROWS), "doc_id", "left_semi").join(gone, "doc_id").select("doc_id", "text", "windows")
-    rest = texts.join(small(ids, CANDIDATE_ROWS), "doc_id", "left_anti").select("doc_id", "text", none.alias("windows"))
-    return touched.unionByName(rest).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
-
-
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield from _remove([pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(b.num_rows, pa.list_(pa.int64()))], names=["doc_id", "text", "windows"])])
+            part = single.where((F.col("doc_id") >= low) & (F.col("doc_id") < low + width)).select("doc_id", "text")
+            shared += index.add(part.mapInArrow(_minima, "h long, doc_id long"))
+    if not shared:
+        return texts.select("doc_id", "text", none.alias("windows"), F.lit(False).alias("copy")).mapInArrow(_remove, kind)
+    hashes = stored(reduce(DataFrame.unionByName, shared).distinct())
+    per_doc = stored(index.rows().join(hashes, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")))
+    drop_stored(*shared, hashes)
+    if own:
+        drop_path(spark, index.path)
+    firsts = known.join(few, ["doc_id", "k"], "left_anti").select("doc_id", "text")
+    chosen = firsts.join(small(per_doc.select("doc_id"), CANDIDATE_ROWS), "doc_id", "left_semi")
+    windows = stored(chosen.join(per_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(_shared_windows, "w1 long, w2 long, doc_id long"))
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    first = stored(first.select(F.col("w1").alias("w"), F.col("w2").alias("check"), "low", "n"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    keyed = first.select(F.struct("w", "check").alias("w"), "low", "n")
+    both = split_join(windows.select(F.struct(F.col("w1").alias("w"), F.col("w2").alias("check")).alias("w"), "doc_id"), keyed, "w", "n", total)
+    gone = stored(both.where("doc_id > low").groupBy("doc_id").agg(F.collect_list("w.w").alias("windows")))
+    drop_stored(windows, first, per_doc)
+    ids = small(gone.select("doc_id"), CANDIDATE_ROWS)
+    touched = single.join(ids, "doc_id", "left_semi").join(gone, "doc_id").select("doc_id", "text", "windows", F.lit(False).alias("copy"))
+    rest = single.join(ids, "doc_id", "left_anti").select("doc_id", "text", none.alias("windows"), F.lit(False).alias("copy"))
+    return touched.unionByName(rest).unionByName(copied).mapInArrow(_remove, kind)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,36 +1,41 @@
 """Language identification by cross-parsing entropy.
 
 Per language, a suffix automaton is built over a bounded sample of labelled texts. A text is cross-parsed against
-each automaton: it is cut, from left to right, into the longest phrases that occur in that language's sample. The
-phrases, each worth log2(sample length) bits, give bits per character; the language with the fewest wins. The score
-is the margin to the second best, as a share of it (0 to 1).
+each automaton: it is cut, from left to right, into the longest phrases that occur in that language's sample; a
+character that no text of the sample has is a phrase by itself. The phrases, each worth log2(sample length) bits, give
+bits per character; the language with the fewest wins. The score is the margin to the second best, as a share of it.
 
-Sample, the only bounded part: for each language the `SAMPLE_DOCS` labelled training documents with a letter in
-that part and the smallest hash of their id, of each the first `SAMPLE_DOC_CHARS` characters, and of those together `SAMPLE_CHARS`. At most
-`MAX_LANGUAGES` languages, the most frequent ones. Predictions read whole texts and nothing but texts.
+Sample, the only bounded part: of each language's labelled training documents with a letter, whole texts in the order
+of their ids' hashes, at most `SAMPLE_DOCS` of them and together at most `SAMPLE_CHARS` characters, or `TOTAL_CHARS` over
+the number of languages if that is less. Texts longer than a language's share come last, so that one is only taken,
+whole, where the language has no other. Every label is learned. Predictions read whole texts and nothing but texts.
 
-All texts of an Arrow batch are parsed side by side: one NumPy step moves every (text, language) pair one
-character ahead in a table of all automata. When few texts are still running, they are finished one by one.
+All automata are one hash table (about two entries a character of the sample), broadcast once: its size is bounded by
+`TOTAL_CHARS`. Texts are taken some megabytes at a time and parsed side by side: one NumPy step moves every (text,
+language) pair one character ahead. When few texts are still running, they are finished one by one.
 
 Cases: a null text, or one without a letter, is `und` with score 0; a tie takes the alphabetically first language
 with score 0; without any training text everything is `und`; repeated rows each get a row; an empty table gives no
-rows; columns other than doc_id, text and lang aren't looked at; a null doc_id counts as held out from training.
+rows; very long texts are parsed whole; columns other than doc_id, text and lang, whatever their names, aren't looked
+at; a null doc_id counts as held out from training.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, stored, table
 
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS, MAX_LANGUAGES = 200, 1_000, 60_000, 64
-#: Below so many running (text, language) pairs, each is parsed by itself.
-FEW = 96
+SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS = 200, 60_000, 1_000_000
+#: Characters that are parsed at a time, and the number of running (text, language) pairs below which each is parsed by itself.
+BATCH_CHARS, FEW = 16 << 20, 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,20 +44,19 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(language, training text), by language; bounded by the constants above."""
-    learnable = F.substring("text", 1, SAMPLE_DOC_CHARS).rlike(r"\p{L}")  # null or letterless texts take no place
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & learnable)
-    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")  # Spark limits each task's rows before the exchange
-    ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
-    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    ids = ids.join(F.broadcast(langs), "lang", "left_semi")  # at most MAX_LANGUAGES * SAMPLE_DOCS rows
-    text = F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")
-    rows = docs.select("doc_id", "lang", text).join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where("text IS NOT NULL").distinct()
-    by: dict[str, list] = {}
-    for r in rows.limit(2 * MAX_LANGUAGES * SAMPLE_DOCS).toLocalIterator():
-        by.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    texts = {lang: "\n".join(t for _, t in sorted(found))[:SAMPLE_CHARS] for lang, found in by.items()}
-    return [(lang, texts[lang]) for lang in sorted(texts) if any(map(str.isalpha, texts[lang]))]
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    langs = labelled.agg(F.count_distinct("lang")).first()[0]
+    share = min(SAMPLE_CHARS, TOTAL_CHARS // max(1, langs))
+    ids = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size"), F.md5("text").alias("k")).withColumn("long", F.col("size") > share)
+    order = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "k")  # Spark limits each task's rows before the exchange
+    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    ids = ids.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ids = ids.where((F.col("upto") <= share) | (F.col("n") == 1)).select("doc_id", "lang", "k").distinct()
+    chosen = docs.select("doc_id", "lang", "text", F.md5("text").alias("k")).join(small(stored(ids)), ["doc_id", "lang", "k"], "left_semi")
+    by: dict[str, set] = {}
+    for r in chosen.select("doc_id", "lang", "text").distinct().toLocalIterator():
+        by.setdefault(r["lang"], set()).add((r["doc_id"], r["text"]))
+    return [(lang, "\n".join(t for _, t in sorted(by[lang]))) for lang in sorted(by)]
 
 
 class SuffixAutomaton:
@@ -87,77 +91,123 @@ class SuffixAutomaton:
 
 
 class Model:
-    """Automata of all languages in one table: row = state, column = character class, 0 = no such phrase.
+    """Automata of all languages in one hash table: (state, character class) to the next state, by linear probing.
 
-    Class 0 is any character that no sample has; state 0 of the table is unused.
+    An entry is one number of three parts of PART bits: state, class and next state. Class 0 is any character that no
+    sample has; it has no entries, and neither has the state `dead`.
     """
 
+    FACTOR, PART = np.uint64(0x9E3779B97F4A7C15), 21  # a code point has 21 bits
+
     def __init__(self, texts: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in texts]
-        letters = sorted(set("".join(t for _, t in texts)))
-        self.classes = np.zeros(0x110000, np.int16)
+        letters = sorted(set().union(*(set(t) for _, t in texts)))
+        self.classes = np.zeros(0x110000, np.uint16 if len(letters) < 1 << 16 else np.int32)
         self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.width = len(letters) + 1
-        automata = [SuffixAutomaton(self.classes[np.array([ord(c) for c in t])].tolist()) for _, t in texts]
-        self.table = np.zeros((1 + sum(len(a.next) for a in automata), self.width), np.int32)
-        self.roots, at = [], 1
-        for a in automata:
+        keys, targets, self.roots, at = [], [], [], 0
+        for _, t in texts:
+            states = SuffixAutomaton(self.classes[np.array([ord(c) for c in t])].tolist()).next
+            source = np.repeat(np.arange(len(states), dtype=np.int64), [len(x) for x in states]) + at
+            keys.append(source << self.PART | np.fromiter((c for x in states for c in x), np.int64, len(source)))
+            targets.append(np.fromiter((s for x in states for s in x.values()), np.int64, len(source)) + at)
             self.roots.append(at)
-            rows = np.repeat(np.arange(len(a.next)), [len(x) for x in a.next]) + at
-            self.table[rows, [c for x in a.next for c in x]] = np.array([s for x in a.next for s in x.values()]) + at
-            at += len(a.next)
+            at += len(states)
+        self.dead = at
+        if at >= 1 << self.PART:
+            raise ValueError("the sample is over TOTAL_CHARS: a single text is too long to learn from")
         self.bits = np.log2([max(2, len(t)) for _, t in texts])
-        self.flat = self.table.ravel()
+        key, to = (np.concatenate([np.empty(0, np.int64), *x]) for x in (keys, targets))
+        self.shift = 64 - max(4, (2 * len(key) + 1).bit_length())
+        self.mask = (1 << (64 - self.shift)) - 1
+        self.table = np.full(self.mask + 1, -1, np.int64)
+        left, slot = np.arange(len(key)), self.slots(key)
+        while len(left):  # the first of those that want a free slot gets it, the others go one on
+            free = np.flatnonzero(self.table[slot[left]] < 0)
+            _, first = np.unique(slot[left[free]], return_index=True)
+            put = left[free[first]]
+            self.table[slot[put]] = key[put] << self.PART | to[put]
+            left = left[self.table[slot[left]] >> self.PART != key[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.FACTOR) >> np.uint64(self.shift)).view(np.int64)
+
+    def following(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that classes c lead to, and where there is none (there the state given is of no use)."""
+        key = (state << self.PART) | c
+        slot = self.slots(key)
+        to = self.table[slot]
+        missed = np.flatnonzero(to >> self.PART != key)
+        on = missed[to[missed] >= 0]
+        while on.size:
+            slot[on] = (slot[on] + 1) & self.mask
+            found = self.table[slot[on]]
+            to[on] = found
+            on = on[(found >> self.PART != key[on]) & (found >= 0)]
+        missed = missed[to[missed] < 0]
+        to &= (1 << self.PART) - 1
+        return to, missed
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of each text (rows; arrays of classes) in each language (columns)."""
+        """Number of phrases of each text (rows; arrays of classes, which are used up) in each language (columns)."""
         n, langs = len(coded), len(self.langs)
         lengths = np.array([len(c) for c in coded])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        text = np.concatenate([coded[i] for i in order]) if n else np.empty(0, np.int16)
+        text = np.concatenate([coded[i] for i in order]) if n else np.empty(0, np.int64)
+        coded.clear()
         starts = np.cumsum(lengths) - lengths
-        roots = np.tile(np.array(self.roots, np.int32), n)  # a text's languages lie side by side
-        state, count = roots.copy(), np.repeat((lengths > 0).astype(np.int64), langs)
-        running = np.searchsorted(-lengths, -np.arange(int(lengths[0]) + 1 if n else 1), side="left")  # texts longer than t
-        t, flat, width = 0, self.flat, self.width
+        roots = np.tile(np.array(self.roots, np.int64), n)  # a text's languages lie side by side
+        state, count = np.full(n * langs, self.dead, np.int64), np.zeros(n * langs, np.int64)
         last = int(lengths[0]) if n else 0
+        running = np.searchsorted(-lengths, -np.arange(last + 1), side="left")  # texts longer than t
+        t = 0
         while t < last and (k := int(running[t])) * langs > FEW:
-            c = np.repeat(text[starts[:k] + t], langs)
+            c = np.repeat(text[starts[:k] + t].astype(np.int64), langs)
             m = k * langs
-            s = flat[state[:m] * width + c]
-            if (stuck := np.flatnonzero(s == 0)).size:  # the phrase ends; the next begins with this character
-                r = flat[roots[stuck] * width + c[stuck]]
-                s[stuck] = np.where(r == 0, roots[stuck], r)
-                if t:
-                    count[stuck] += 1
-            state[:m] = s
+            to, stuck = self.following(state[:m], c)
+            if stuck.size:  # the phrase ends; the next begins with this character
+                again, none = self.following(roots[stuck], c[stuck])
+                again[none] = self.dead
+                to[stuck] = again
+                count[stuck] += 1
+            state[:m] = to
             t += 1
-        if t < last:
-            for i in range(int(running[t])):
-                rest = text[starts[i] + t : starts[i] + lengths[i]].tolist()
-                for j, root in enumerate(self.roots):
-                    s, found = int(state[i * langs + j]), 0
-                    for c in rest:
-                        if not (to := flat[s * width + c]):
-                            found += 1
-                            to = flat[root * width + c] or root
-                        s = to
-                    count[i * langs + j] += found
+        table, factor, part, shift, mask, dead = memoryview(self.table), int(self.FACTOR), self.PART, self.shift, self.mask, self.dead
+        whole, last_part = (1 << 64) - 1, (1 << part) - 1
+        for i in range(int(running[t]) if t < last else 0):
+            rest = text[starts[i] + t : starts[i] + lengths[i]].tolist()
+            for j, root in enumerate(self.roots):
+                s, found = int(state[i * langs + j]), 0
+                for c in rest:
+                    key = s << part | c
+                    slot = (key * factor & whole) >> shift
+                    while (x := table[slot]) >> part != key and x >= 0:
+                        slot = slot + 1 & mask
+                    if x < 0:
+                        found += 1
+                        key = root << part | c
+                        slot = (key * factor & whole) >> shift
+                        while (x := table[slot]) >> part != key and x >= 0:
+                            slot = slot + 1 & mask
+                        if x < 0:
+                            s = dead
+                            continue
+                    s = x & last_part
+                count[i * langs + j] += found
         out = np.empty((n, langs), np.int64)
         out[order] = count.reshape(n, langs)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
         coded, lettered = [], []
         for t in texts:
-            t = t or ""
-            points = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
-            coded.append(self.classes[points])
-            lettered.append(t.isalpha() or any(map(str.isalpha, t)))
+            coded.append(self.classes[np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32)])
+            lettered.append(bool(t) and (t.isalpha() or any(map(str.isalpha, t))))
         if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        cost = self.phrases(coded) * self.bits / np.maximum(1, [len(c) for c in coded])[:, None]
+            return ["und"] * len(coded), [0.0] * len(coded)
+        lengths = np.maximum(1, [len(c) for c in coded])
+        cost = self.phrases(coded) * self.bits / lengths[:, None]
         best = cost.argmin(axis=1)
         low = cost[np.arange(len(cost)), best]
         second = np.partition(cost, 1, axis=1)[:, 1] if len(self.langs) > 1 else 2 * low
@@ -166,38 +216,46 @@ class Model:
         return [x[0] for x in found], [x[1] for x in found]
 
 
-_held: dict[int, Model] = {}
-
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about BATCH_CHARS bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
-def _predict_batches(texts: list[tuple[str, str]]):
-    key = hash(tuple(texts))
 
+def _predict_batches(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _held:
-            _held.clear()
-            _held[key] = Model(texts)
         for batch in batches:
-            langs, scores = _held[key].predict(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            for part in _parts(batch, 0):
+                langs, scores = model.value.predict(t.as_py() for t in part.column(0))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[1:], "lang_pred", "score"])
 
     return run
 
 
+def fitted(docs: DataFrame) -> Broadcast:
+    """The model of docs' own labelled part, of bounded size, sent to each executor once."""
+    return docs.sparkSession.sparkContext.broadcast(Model(sample(docs)))
+
+
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns of every document, with lang_pred and score. Learns from docs' own labelled part."""
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("text"), *keep).mapInArrow(_predict_batches(sample(docs)), f"{kept}, lang_pred string, score double")
+    return docs.select(F.col("text").alias("text"), *keep).mapInArrow(_predict_batches(fitted(docs)), f"{kept}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) whose language is known: those with letters in which one language is best."""
-    texts = sample(docs)
-    run = _predict_batches(texts)
+    """The documents (all columns) that have a language: those with a letter, where there is anything to learn from."""
+    model, text = fitted(docs), docs.columns.index("text")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (judged,) = run([pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])])
-            yield batch.filter(pa.array(np.array(judged.column(0).to_pylist(), object) != "und"))
+            for part in _parts(batch, text):
+                langs, _ = model.value.predict(t.as_py() for t in part.column(text))
+                yield part.filter(pa.array([x != "und" for x in langs]))
 
     return docs.mapInArrow(chosen, docs.schema)
 

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from .operators import logs, ratings
 from .sources import pairwise
-from .sources.pairwise import EDGE, GAME, SIDE, table
+from .queries import records as _records
+from .sources.pairwise import EDGE, SIDE, table
+
+AREAS = [_records]
 
 
 def _long(df, *names):
@@ -71,7 +74,7 @@ def metric_auc(spark, d):
 
 def queries() -> dict:
     all_ = (team_records, head_to_head, bad_shape_counts, rpi, rpi_ranked, sos_rank, resume_top_bands, spearman, log_dedupe_final_wins, field_conflicts, metric_auc)
-    return {f.__name__: f for f in all_}
+    return {f.__name__: f for f in [*all_, *(q for area in AREAS for q in area.QUERIES)]}
 
 
 RPI = f"""{EDGE}, side2 AS (SELECT winner AS team, loser AS opp, 1 AS w FROM edge UNION ALL SELECT loser, winner, 0 FROM edge),
@@ -83,7 +86,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY round(rpi, 10) DESC, team) AS rank F
 
 
 def oracle_sql() -> dict:
-    return {
+    found = {
         "team_records": f"WITH {EDGE} SELECT team, sum(w)::BIGINT AS wins, (count(*) - sum(w))::BIGINT AS losses FROM (SELECT winner AS team, 1 AS w FROM edge UNION ALL SELECT loser, 0 FROM edge) GROUP BY team",
         "head_to_head": f"WITH {EDGE} SELECT winner, loser, count(*) AS n FROM edge GROUP BY ALL",
         "bad_shape_counts": f"WITH {SIDE} SELECT shape, count(*) AS games FROM (SELECT CASE WHEN count(*) = 2 THEN 'two sides' WHEN count(*) < 2 THEN 'fewer' ELSE 'more' END AS shape FROM side GROUP BY gid) GROUP BY shape",
@@ -100,3 +103,6 @@ SELECT count(*) AS teams, round(corr(rank, official), 6) AS spearman FROM k JOIN
 b AS (SELECT *, coalesce(sum(q) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
 SELECT (sum(p) + sum(q))::BIGINT AS n, sum(p)::BIGINT AS positives, round(sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0), 6) AS auc FROM b""",
     }
+    for area in AREAS:
+        found |= area.oracle(RPI)
+    return found

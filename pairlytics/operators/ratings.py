@@ -6,9 +6,13 @@ against it follows from the opponent's totals less the two teams' mutual ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
+__all__ = ["bands", "head_to_head", "meetings", "ranked", "records", "rpi"]
+
 #: Fixed weights of own, opponents' and opponents' opponents' winning percentage.
 WP, OWP, OOWP = 0.25, 0.50, 0.25
 
@@ -43,15 +47,6 @@ def rpi(edges: DataFrame) -> DataFrame:
     return out.select("team", "wins", "losses", "wp", "owp", "oowp", (WP * F.col("wp") + OWP * F.col("owp") + OOWP * F.col("oowp")).alias("rpi"))
 
 
-def ranked(rows: DataFrame, by: str, key: str, name: str = "rank") -> DataFrame:
-    """rows with 1..N by column `by`, highest first, ties by key.
-
-    The window holds one row per team, a dimension of bounded size. Values are rounded to 10 places for the order, so
-    that the order of a sum's terms can't decide it.
-    """
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(F.round(by, 10).desc(), key)))
-
-
 def bands(edges: DataFrame, ranks: DataFrame, top: tuple[int, ...] = (25, 50)) -> DataFrame:
     """(team, wins and losses against the first `top` ranks, cumulative)."""
     met = meetings(edges).join(ranks.select(F.col("team").alias("opp"), "rank"), "opp")

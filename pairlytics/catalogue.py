@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from .operators import logs, ratings
 from .sources import pairwise
+from .queries import evaluation as _evaluation
 from .queries import records as _records
+from .queries import selection as _selection
 from .sources.pairwise import EDGE, SIDE, table
 
-AREAS = [_records]
+AREAS = [_records, _evaluation, _selection]
 
 
 def _long(df, *names):

@@ -29,6 +29,12 @@ def teams(spark, d):
     return ranked(s, "s_acctbal", "team", "official_rank").drop("s_acctbal")
 
 
+def conferences(spark, d):
+    """(team, conference)."""
+    n = F.broadcast(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("conference")))  # 25 rows
+    return table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_suppkey").alias("team"), "conference")
+
+
 def members(spark, d):
     return table(spark, d, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("team"))
 
@@ -66,11 +72,11 @@ def date_split(spark, d):
 
 
 def conference_records(spark, d):
-    return M.conference_records(match_sides(spark, d), teams(spark, d)).withColumn("pct", F.round("pct", 6))
+    return M.conference_records(match_sides(spark, d), conferences(spark, d)).withColumn("pct", F.round("pct", 6))
 
 
 def last_day_games(spark, d):
-    t = teams(spark, d).select("team", "conference")
+    t = conferences(spark, d)
     s = match_sides(spark, d).join(t, "team").join(t.select(F.col("team").alias("opp"), F.col("conference").alias("c2")), "opp").where("conference = c2 AND won = 1")
     return M.last_day(s, "conference", "date").select("conference", "gid", F.col("team").alias("winner"), F.col("date").cast("string").alias("date"))
 

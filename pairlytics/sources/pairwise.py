@@ -23,7 +23,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gid, team_a, team_b, points_a, points_b, sets, game_state, date, championship) of two-sided orders."""
+    """(gid, team_a, team_b, points_a, points_b, sets, game_state, date, championship) of two-sided orders; kept, as a query reads it several times."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("gid"), F.col("o_orderstatus").alias("game_state"), F.to_date("o_orderdate").alias("date"), (F.col("o_orderpriority") == "1-URGENT").alias("championship")
     )
@@ -31,7 +31,7 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.join(orders, "gid").select(
         "gid", F.col("a.team").alias("team_a"), F.col("b.team").alias("team_b"), F.col("a.points").alias("points_a"), F.col("b.points").alias("points_b"),
         (F.col("a.lines") + F.col("b.lines")).alias("sets"), "game_state", "date", "championship",
-    )
+    ).persist()
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ minimum-covariance-determinant centre and scatter are estimated: from medians an
 concentration steps each keep the half of the documents that lie nearest and take mean and covariance anew, times
 `CONSISTENCY`, so outliers (copies too) may make up any share under a half. Where the median squared distance is still
 over that of a normal sample, the scatter is scaled up to it; it is never scaled down, which would undo the floors. A
-document is rejected if its squared Mahalanobis distance is over `CUTOFF`. Groups under `MIN_GROUP` documents use the estimate of all documents together.
+document is rejected if its squared Mahalanobis distance is over `CUTOFF`. Every group's centre, scatter and scale are
+shrunk to those of all documents together, with the weight n / (n + `PRIOR`) for its own n documents, so nothing jumps
+at any size: a large group stands by itself, a tiny one (an outlier alone in its source) is judged by all. A squared
+distance is convex in centre and scatter, so what both estimates accept their mean accepts too.
 
 All sums, quantiles (mergeable sketches, relative rank error 1/10,000) and moments are partial aggregates, so a hot
 group costs no more than its rows. Window equality is that of 64-bit hashes of words.
@@ -26,12 +29,13 @@ from .decontaminate import kgram_hashes
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: Transformed statistics in order, each with the least standard deviation that is taken for it.
 FLOORS = {"x1": 0.5, "x2": 0.15, "x3": 0.1, "x4": 0.05, "x5": 0.06}
-SUBSET, C_STEPS, MIN_GROUP = 0.5, 3, 50
+SUBSET, C_STEPS, PRIOR = 0.5, 3, 50
 #: Covariance of a 5-dimensional normal sample over that of its nearest half: 0.5 / P(chi-square with 7 degrees < MEDIAN).
 CONSISTENCY = 1.9123
 #: Chi-square with 5 degrees of freedom: median, and the 1 - 1e-9 quantile.
 MEDIAN, CUTOFF = 4.3515, 53.0
 X = list(FLOORS)
+ALL = "all"  #: group of all documents; the names of the others are JSON objects
 PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
 ACCURACY = 10_000
 
@@ -108,6 +112,18 @@ def _factor(moments: DataFrame) -> DataFrame:
     return df.select("group", *[f"m_{x}" for x in X], *[f"l_{i}_{j}" for i, j in PAIRS])
 
 
+def _weight() -> Column:
+    """Share of a group's own estimate; that of all documents stands by itself."""
+    return F.when(F.col("group") == ALL, F.lit(1.0)).otherwise(F.col("n") / (F.col("n") + PRIOR))
+
+
+def _shrunk(moments: DataFrame) -> DataFrame:
+    """moments (group, n, m_x1.., s_i_j) drawn to those of the group `ALL`, a single row that becomes literals."""
+    every = moments.where(F.col("group") == ALL).first()
+    drawn = [(_weight() * F.col(c) + (1 - _weight()) * F.lit(every[c])).alias(c) for c in moments.columns if c[:2] in ("m_", "s_")]
+    return moments.select("group", *drawn)
+
+
 def _with_distance(df: DataFrame, estimate: DataFrame) -> DataFrame:
     joined = df.join(estimate, "group")
     d = _distance({x: F.col(f"m_{x}") for x in X}, {p: F.col(f"l_{p[0]}_{p[1]}") for p in PAIRS})
@@ -116,31 +132,30 @@ def _with_distance(df: DataFrame, estimate: DataFrame) -> DataFrame:
 
 def outliers(stats: DataFrame) -> DataFrame:
     """stats (of documents that passed the base rules) with d2, the scaled squared robust distance."""
-    sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") >= MIN_GROUP).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.lit(True).alias("own")))
-    mine = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    name = F.when(F.col("own"), F.to_json(F.struct("lang", "source"))).otherwise(F.lit("all"))
-    df = _transformed(stats).join(small(large), mine, "left").withColumn("group", name).select(*stats.columns, *X, "group")
+    df = _transformed(stats).withColumn("group", F.to_json(F.struct("lang", "source"))).select(*stats.columns, *X, "group")
     df = stored(df)
-    fit = df.select("group", *X)  # every document counts for its group, and for the group of all if that is needed
-    if not df.where("group = 'all'").isEmpty():
-        fit = stored(fit.where("group <> 'all'").select(F.explode(F.array("group", F.lit("all"))).alias("group"), *X).unionByName(fit.where("group = 'all'")))
+    if df.isEmpty():
+        return stats.withColumn("d2", F.lit(None).cast("double"))
+    fit = df.select(F.explode(F.array("group", F.lit(ALL))).alias("group"), *X)  # every document counts for its group and for all
 
     middle = fit.groupBy("group").agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"m_{x}") for x in X])
     spread = fit.join(small(middle := stored(middle)), "group").groupBy("group", *[f"m_{x}" for x in X])
-    spread = spread.agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, ACCURACY).alias(f"d_{x}") for x in X])
-    estimate = spread.select(
-        "group", *[f"m_{x}" for x in X],
+    spread = spread.agg(F.count("*").alias("n"), *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, ACCURACY).alias(f"d_{x}") for x in X])
+    estimate = stored(spread.select(
+        "group", "n", *[f"m_{x}" for x in X],
         *[(F.pow(F.col(f"d_{X[i]}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in PAIRS],
-    )
-    estimate = stored(_factor(estimate))
+    ))
+    estimate = stored(_factor(_shrunk(estimate)))
     for _ in range(C_STEPS):
         near = _with_distance(fit, small(estimate))
-        limit = stored(near.groupBy("group").agg(F.percentile_approx("d2", SUBSET, ACCURACY).alias("limit")))
+        limit = stored(near.groupBy("group").agg(F.percentile_approx("d2", SUBSET, ACCURACY).alias("limit"), F.count("*").alias("n")))
         kept = near.join(small(limit), "group").where("d2 <= limit")
-        moments = kept.groupBy("group").agg(*[F.avg(x).alias(f"m_{x}") for x in X], *[(F.covar_pop(X[i], X[j]) * CONSISTENCY).alias(f"s_{i}_{j}") for i, j in PAIRS])
-        estimate = stored(_factor(moments))
-    scale = stored(_with_distance(fit, small(estimate)).groupBy("group").agg(F.greatest(F.percentile_approx("d2", 0.5, ACCURACY) / MEDIAN, F.lit(1.0)).alias("scale")))
+        moments = kept.groupBy("group", "n").agg(*[F.avg(x).alias(f"m_{x}") for x in X], *[(F.covar_pop(X[i], X[j]) * CONSISTENCY).alias(f"s_{i}_{j}") for i, j in PAIRS])
+        estimate = stored(_factor(_shrunk(stored(moments))))
+    medians = _with_distance(fit, small(estimate)).groupBy("group").agg(F.greatest(F.percentile_approx("d2", 0.5, ACCURACY) / MEDIAN, F.lit(1.0)).alias("own"), F.count("*").alias("n"))
+    medians = stored(medians)
+    every = medians.where(F.col("group") == ALL).first()["own"]
+    scale = stored(medians.select("group", (F.pow("own", _weight()) * F.pow(F.lit(every), 1 - _weight())).alias("scale")))  # shrunk as a factor
     out = _with_distance(df, small(estimate)).join(small(scale), "group")
     return out.select(*stats.columns, (F.col("d2") / F.col("scale")).alias("d2"))
 

@@ -17,10 +17,19 @@ def rally(margin: Column) -> Column:
 
 
 def set_win(p: Column, target: int) -> Column:
-    """Probability to reach target first, two points ahead; closed form: wins before a deuce, and the deuce."""
-    q = 1 - p
-    early = sum((F.lit(float(comb(target - 1 + b, b))) * F.pow(q, F.lit(b)) for b in range(target - 1)), F.lit(0.0)) * F.pow(p, F.lit(target))
-    return early + F.lit(float(comb(2 * target - 2, target - 1))) * F.pow(p * q, F.lit(target - 1)) * p * p / (1 - 2 * p * q)
+    """Probability to reach target first, two points ahead; closed form: wins before a deuce, and the deuce.
+
+    p is bound once by a lambda, and the sum over the loser's points is taken by Horner's rule, so that the expression
+    stays small however often its parts are used.
+    """
+    ways = F.array(*[F.lit(float(comb(target - 1 + b, b))) for b in reversed(range(target - 1))])
+
+    def win(x: Column) -> Column:
+        q = 1 - x
+        early = F.aggregate(ways, F.lit(0.0), lambda a, c: a * q + c) * F.pow(x, F.lit(target))
+        return early + F.lit(float(comb(2 * target - 2, target - 1))) * F.pow(x * q, F.lit(target - 1)) * x * x / (1 - 2 * x * q)
+
+    return F.get(F.transform(F.array(p), win), 0)
 
 
 def match_parts(p: Column) -> dict[str, Column]:
@@ -29,11 +38,16 @@ def match_parts(p: Column) -> dict[str, Column]:
     return {"p30": s * s * s, "p31": 3 * s * s * s * (1 - s), "p32": 6 * s * s * (1 - s) * (1 - s) * last}
 
 
-def with_match_win(rows: DataFrame, margin: Column, name: str) -> DataFrame:
-    """rows with the probability to win a match at a margin; steps are columns, so that none is computed twice."""
-    rows = rows.withColumn("_p", rally(margin)).withColumn("_s", set_win(F.col("_p"), SET)).withColumn("_l", set_win(F.col("_p"), LAST))
-    s, q = F.col("_s"), 1 - F.col("_s")
-    return rows.withColumn(name, s * s * s * (1 + 3 * q) + 6 * s * s * q * q * F.col("_l")).drop("_p", "_s", "_l")
+def match_win(margin: Column) -> Column:
+    """Probability to win a best-of-five match at an expected margin per set; the parts are bound once, as in `set_win`."""
+
+    def win(x: Column) -> Column:
+        s, last = x["s"], x["last"]
+        q = 1 - s
+        return s * s * s * (1 + 3 * q) + 6 * s * s * q * q * last
+
+    sets = F.transform(F.array(rally(margin)), lambda p: F.struct(set_win(p, SET).alias("s"), set_win(p, LAST).alias("last")))
+    return F.get(F.transform(sets, win), 0)
 
 
 def titles(slots: DataFrame, pairs: DataFrame, rounds: int) -> DataFrame:

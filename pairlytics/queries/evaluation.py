@@ -127,7 +127,7 @@ def bracket_title_probs(spark, d):
     slots = top.select((F.array_position(F.array(*map(F.lit, SLOTS)), F.col("rank")) - 1).cast("int").alias("slot"), "team", "margin").persist()  # 8 rows, read several times
     other = slots.select(F.col("team").alias("opp"), F.col("margin").alias("m2"))
     met = F.broadcast(slots).join(F.broadcast(other), F.col("team") != F.col("opp"))  # 8 rows each
-    pairs = probability.with_match_win(met, F.col("margin") - F.col("m2"), "p").select("team", "opp", "p").persist()
+    pairs = met.select("team", "opp", probability.match_win(F.col("margin") - F.col("m2")).alias("p")).persist()
     return probability.titles(slots, pairs, 3).select("team", F.round("p", 6).alias("p"))
 
 

@@ -10,8 +10,8 @@ of their ids' hashes, at most `SAMPLE_DOCS` of them and together at most `SAMPLE
 the number of languages if that is less. Texts longer than a language's share come last, so that one is only taken,
 whole, where the language has no other. Every label is learned. Predictions read whole texts and nothing but texts.
 
-All automata are one hash table (about two entries a character of the sample), broadcast once: its size is bounded by
-`TOTAL_CHARS`. Texts are taken some megabytes at a time and parsed side by side: one NumPy step moves every (text,
+All automata are one table of overlapping rows (some four places a character of the sample), broadcast once: its size
+is bounded by `TOTAL_CHARS`, but for a language whose only text is longer. Texts are taken some megabytes at a time and parsed side by side: one NumPy step moves every (text,
 language) pair one character ahead. When few texts are still running, they are finished one by one.
 
 Cases: a null text, or one without a letter, is `und` with score 0; a tie takes the alphabetically first language
@@ -91,62 +91,75 @@ class SuffixAutomaton:
 
 
 class Model:
-    """Automata of all languages in one hash table: (state, character class) to the next state, by linear probing.
+    """Automata of all languages in one table of overlapping rows.
 
-    An entry is one number of three parts of PART bits: state, class and next state. Class 0 is any character that no
-    sample has; it has no entries, and neither has the state `dead`.
+    A state is the number of the place where its row begins; its transition by class c lies c places on and holds the
+    next state and, in the lowest `bits` bits, c itself. No two states begin at the same place, so an entry with class c
+    found there is the state's own. Class 0 is any character that no sample has; it has no entries, and neither has
+    the row of the state `dead`.
     """
 
-    FACTOR, PART = np.uint64(0x9E3779B97F4A7C15), 21  # a code point has 21 bits
-
     def __init__(self, texts: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in texts]
         letters = sorted(set().union(*(set(t) for _, t in texts)))
+        self.n_classes = len(letters) + 1
+        self.bits = self.n_classes.bit_length()  # an empty entry, -1, shows a class that there isn't
         self.classes = np.zeros(0x110000, np.uint16 if len(letters) < 1 << 16 else np.int32)
         self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        keys, targets, self.roots, at = [], [], [], 0
+        source, by, target, roots, at = [], [], [], [], 0
         for _, t in texts:
             states = SuffixAutomaton(self.classes[np.array([ord(c) for c in t])].tolist()).next
-            source = np.repeat(np.arange(len(states), dtype=np.int64), [len(x) for x in states]) + at
-            keys.append(source << self.PART | np.fromiter((c for x in states for c in x), np.int64, len(source)))
-            targets.append(np.fromiter((s for x in states for s in x.values()), np.int64, len(source)) + at)
-            self.roots.append(at)
+            size = [len(x) for x in states]
+            source.append(np.repeat(np.arange(len(states)), size) + at)
+            by.append(np.fromiter((c for x in states for c in x), np.int64, sum(size)))
+            target.append(np.fromiter((s for x in states for s in x.values()), np.int64, sum(size)) + at)
+            roots.append(at)
             at += len(states)
-        self.dead = at
-        if at >= 1 << self.PART:
-            raise ValueError("the sample is over TOTAL_CHARS: a single text is too long to learn from")
-        self.bits = np.log2([max(2, len(t)) for _, t in texts])
-        key, to = (np.concatenate([np.empty(0, np.int64), *x]) for x in (keys, targets))
-        self.shift = 64 - max(4, (2 * len(key) + 1).bit_length())
-        self.mask = (1 << (64 - self.shift)) - 1
-        self.table = np.full(self.mask + 1, -1, np.int64)
-        left, slot = np.arange(len(key)), self.slots(key)
-        while len(left):  # the first of those that want a free slot gets it, the others go one on
-            free = np.flatnonzero(self.table[slot[left]] < 0)
-            _, first = np.unique(slot[left[free]], return_index=True)
-            put = left[free[first]]
-            self.table[slot[put]] = key[put] << self.PART | to[put]
-            left = left[self.table[slot[left]] >> self.PART != key[left]]
-            slot[left] = (slot[left] + 1) & self.mask
-
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * self.FACTOR) >> np.uint64(self.shift)).view(np.int64)
-
-    def following(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The states that classes c lead to, and where there is none (there the state given is of no use)."""
-        key = (state << self.PART) | c
-        slot = self.slots(key)
-        to = self.table[slot]
-        missed = np.flatnonzero(to >> self.PART != key)
-        on = missed[to[missed] >= 0]
-        while on.size:
-            slot[on] = (slot[on] + 1) & self.mask
-            found = self.table[slot[on]]
-            to[on] = found
-            on = on[(found >> self.PART != key[on]) & (found >= 0)]
-        missed = missed[to[missed] < 0]
-        to &= (1 << self.PART) - 1
-        return to, missed
+        self.phrase_bits = np.log2([max(2, len(t)) for _, t in texts])
+        source, by, target = (np.concatenate([np.empty(0, np.int64), *x]) for x in (source, by, target))
+        places = 2 * len(by) + 16
+        begin = self._begins(source, by, at, places)
+        self.dead = places + self.n_classes
+        begin[begin < 0] = self.dead  # states without transitions
+        self.table = np.full(self.dead + self.n_classes, -1, np.int64)
+        self.table[begin[source] + by] = begin[target] << self.bits | by
+        self.roots = begin[np.array(roots, np.int64)]
+
+    def _begins(self, source: np.ndarray, by: np.ndarray, states: int, places: int) -> np.ndarray:
+        """Where each state's row begins (-1 without transitions); at most half of the places are ever taken.
+
+        Rows of many entries go first. Each turn, all rows still left try a place drawn at random (with a fixed seed);
+        those that clash with a placed row, or with another of this turn, try again.
+        """
+        size = np.bincount(source, minlength=states)
+        lo = np.cumsum(size) - size
+        begin, taken, used = np.full(states, -1, np.int64), np.zeros(places + self.n_classes, bool), np.zeros(places, bool)
+        draw = np.random.default_rng(1)
+        most = int(size.max(initial=0))
+        while most:
+            least = most // 2 + 1
+            left = np.flatnonzero((size >= least) & (size <= most))
+            while len(left):
+                at = draw.integers(0, places, len(left))
+                n = size[left]
+                row = np.repeat(np.arange(len(left)), n)
+                edge = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[left], n)
+                slot = at[row] + by[edge]
+                bad = used[at]
+                _, once, again = np.unique(at, return_index=True, return_counts=True)
+                bad |= ~np.isin(np.arange(len(left)), once[again == 1])
+                _, back, shared = np.unique(slot, return_inverse=True, return_counts=True)
+                bad[row[taken[slot] | (shared[back] > 1)]] = True
+                if bad.all() and len(left) > 1:  # a table that is small for its rows: one at a time
+                    free = ~used[at]
+                    free[row[taken[slot]]] = False
+                    bad[np.flatnonzero(free)[:1]] = False
+                begin[left[~bad]] = at[~bad]
+                used[at[~bad]] = True
+                taken[slot[~bad[row]]] = True
+                left = left[bad]
+            most = least - 1
+        return begin
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of each text (rows; arrays of classes, which are used up) in each language (columns)."""
@@ -157,44 +170,38 @@ class Model:
         text = np.concatenate([coded[i] for i in order]) if n else np.empty(0, np.int64)
         coded.clear()
         starts = np.cumsum(lengths) - lengths
-        roots = np.tile(np.array(self.roots, np.int64), n)  # a text's languages lie side by side
         state, count = np.full(n * langs, self.dead, np.int64), np.zeros(n * langs, np.int64)
+        roots = np.tile(self.roots, n)  # a text's languages lie side by side
         last = int(lengths[0]) if n else 0
         running = np.searchsorted(-lengths, -np.arange(last + 1), side="left")  # texts longer than t
+        bits, mask = self.bits, (1 << self.bits) - 1
         t = 0
         while t < last and (k := int(running[t])) * langs > FEW:
             c = np.repeat(text[starts[:k] + t].astype(np.int64), langs)
             m = k * langs
-            to, stuck = self.following(state[:m], c)
+            found = self.table.take(state[:m] + c)
+            stuck = np.flatnonzero((found & mask) != c)
+            np.right_shift(found, bits, out=state[:m])
             if stuck.size:  # the phrase ends; the next begins with this character
-                again, none = self.following(roots[stuck], c[stuck])
-                again[none] = self.dead
-                to[stuck] = again
+                c = c.take(stuck)
+                found = self.table.take(roots.take(stuck) + c)
+                state[stuck] = np.where((found & mask) == c, found >> bits, self.dead)
                 count[stuck] += 1
-            state[:m] = to
             t += 1
-        table, factor, part, shift, mask, dead = memoryview(self.table), int(self.FACTOR), self.PART, self.shift, self.mask, self.dead
-        whole, last_part = (1 << 64) - 1, (1 << part) - 1
+        table, dead = memoryview(self.table), self.dead
         for i in range(int(running[t]) if t < last else 0):
             rest = text[starts[i] + t : starts[i] + lengths[i]].tolist()
-            for j, root in enumerate(self.roots):
-                s, found = int(state[i * langs + j]), 0
+            for j in range(langs):
+                s, ends, root = int(state[i * langs + j]), 0, int(self.roots[j])
                 for c in rest:
-                    key = s << part | c
-                    slot = (key * factor & whole) >> shift
-                    while (x := table[slot]) >> part != key and x >= 0:
-                        slot = slot + 1 & mask
-                    if x < 0:
-                        found += 1
-                        key = root << part | c
-                        slot = (key * factor & whole) >> shift
-                        while (x := table[slot]) >> part != key and x >= 0:
-                            slot = slot + 1 & mask
-                        if x < 0:
-                            s = dead
-                            continue
-                    s = x & last_part
-                count[i * langs + j] += found
+                    x = table[s + c]
+                    if x & mask == c:
+                        s = x >> bits
+                    else:
+                        ends += 1
+                        x = table[root + c]
+                        s = x >> bits if x & mask == c else dead
+                count[i * langs + j] += ends
         out = np.empty((n, langs), np.int64)
         out[order] = count.reshape(n, langs)
         return out
@@ -207,7 +214,7 @@ class Model:
         if not self.langs:
             return ["und"] * len(coded), [0.0] * len(coded)
         lengths = np.maximum(1, [len(c) for c in coded])
-        cost = self.phrases(coded) * self.bits / lengths[:, None]
+        cost = self.phrases(coded) * self.phrase_bits / lengths[:, None]
         best = cost.argmin(axis=1)
         low = cost[np.arange(len(cost)), best]
         second = np.partition(cost, 1, axis=1)[:, 1] if len(self.langs) > 1 else 2 * low

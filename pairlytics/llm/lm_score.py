@@ -5,13 +5,14 @@ the whole corpus less the scored document's own, so a document is judged by the
 log10(c(abc)/c(ab)) if that trigram occurs elsewhere, else log10(ALPHA c(bc)/c(b)), else log10(ALPHA^2 c(c)/N), where
 an unseen word counts `UNSEEN`. The score of a document is the mean over its words.
 
-Equal texts are one row with a number of copies. Texts are cut into blocks of about `BLOCK_BYTES`; a block is exploded
-into one row per distinct n-gram (a 64-bit hash), so even the commonest n-gram has at most one row per block and no key
-is hot. The rows are partitioned by hash once: grouped, they give the count table of the n-grams that several blocks
-have; joined to it, they bring the counts back to their blocks. A block has the counts of all its other n-grams itself.
-Trigrams follow in a second turn, and only those whose two bigrams other documents have: others can't occur elsewhere.
-Each block then sums its documents' words. All tables grow with the corpus and stay distributed; a task holds one block
-and its counts at a time. Tables are deleted once used.
+Equal texts are one row with a number of copies. Texts are cut into blocks of about `BLOCK_BYTES`, and a block is
+exploded into its distinct n-grams (64-bit hashes) with how often each occurs there, so even the commonest n-gram has one
+entry per block. The entries are partitioned by hash into buckets of about `BUCKET_ENTRIES`; one row packs what a block
+has in a bucket, as moving n-grams row by row costs most of the time. A bucket adds up its count table, joins it to its
+entries and gives the counts of the n-grams that several blocks have back to these blocks. A block has the counts of all
+its other n-grams itself. Trigrams follow in a second turn. Each block then sums its documents' words. The number of
+buckets grows with the corpus; a task holds one bucket, or one block and its counts, at a time. What a bucket can't split
+is a single n-gram: 24 bytes for each block that has it, 600 MB for one in every block of 100 TB. Tables are deleted once used.
 
 Cases: a null text or one without words has score null; repeated rows are distinct documents with equal scores (each
 counts for the others); with a single document every word is unseen; null doc_id is kept; a text of any length is
@@ -37,8 +38,9 @@ ALPHA, UNSEEN = 0.4, 0.5
 BLOCK_BYTES, WAVES = 4 << 20, 4
 _START = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: A row has an n-gram's hash and, in one number, its block (upper bits) and how often it occurs there (lower TIMES_BITS).
-GRAMS, TIMES_BITS = "h long, v long", 19
+BUCKET_ENTRIES, ROW_ENTRIES = 1 << 20, 1 << 17
+#: A row has the hashes of some n-grams (8 bytes each, ascending) and as many numbers: times in the block, or corpus counts.
+GRAMS, COUNTS = "bucket long, block long, h binary, m binary", "block long, h binary, c binary"
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,25 +103,66 @@ def _summed(hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sorted_[first], np.add.reduceat(times[order], first)
 
 
-def _rows(block: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    h, m = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    most = (1 << TIMES_BITS) - 1
-    if (m > most).any():  # what doesn't fit takes several rows
-        n = -(-m // most)
-        h, left = np.repeat(h, n), m - (n - 1) * most
-        m = np.full(len(h), most)
-        m[np.cumsum(n) - 1] = left
-    return pa.table({"h": h.view(np.int64), "v": (block << TIMES_BITS) | m.astype(np.int64)})
-
-
-def _grams(long_: bool):
-    """(block, text, copies), a block's rows side by side, to the block's distinct trigrams, or words and bigrams."""
+def _packed(h: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, ids: dict[str, np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
+    """One row for each stretch of h and numbers between two bounds, with its ids."""
+    h, numbers = h.astype(np.uint64, copy=False).tobytes(), numbers.astype(np.int64, copy=False).tobytes()
+    for i in range(0, len(bounds) - 1, 32):
+        cut = list(zip(bounds[i : i + 32].tolist(), bounds[i + 1 : i + 33].tolist(), strict=False))
+        packed = [pa.array([x[8 * a : 8 * z] for a, z in cut], pa.binary()) for x in (h, numbers)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(v[i : i + len(cut)]) for v in ids.values()], *packed], names=[*ids, "h", name])
+
+
+def _stretches(changes: np.ndarray, n: int) -> np.ndarray:
+    """Bounds of the stretches of n entries that start at changes, none longer than ROW_ENTRIES."""
+    return np.union1d(changes, np.append(np.arange(0, n, ROW_ENTRIES), n))
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
+def _rows(block: int, h: np.ndarray, m: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The sorted hashes h of a block, by bucket: the upper bits of a hash."""
+    if not len(h):
+        return
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    bounds = _stretches(np.flatnonzero(np.diff(bucket)) + 1, len(h))
+    at = bucket[bounds[:-1]]
+    yield from _packed(h, m, bounds, {"bucket": at, "block": np.full(len(at), block, np.int64)}, "m")
+
+
+def _merged(t: pa.Table) -> pa.Table:
+    """A bucket's entries to corpus counts, for the blocks that have them, of the n-grams with more than one entry."""
+    hs = _unpacked(t.column("h"), np.uint64)
+    kind = pa.schema([("block", pa.int64()), ("h", pa.binary()), ("c", pa.binary())])
+    blocks, row = np.unique(t.column("block").to_numpy(), return_inverse=True)
+    h = np.concatenate(hs)
+    row = np.repeat(row.astype(np.uint16 if len(blocks) <= 1 << 16 else np.int64), [len(x) for x in hs])
+    del hs
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    n = np.diff(np.append(first, len(h)))
+    total = np.add.reduceat(np.concatenate(_unpacked(t.column("m"), np.int64))[order], first)
+    several = np.repeat(n > 1, n)
+    h, row, c = h[several], row[order[several]], np.repeat(total[n > 1], n[n > 1])
+    if not len(h):
+        return kind.empty_table()
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    bounds = _stretches(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))
+    return pa.Table.from_batches(_packed(h[order], c[order], bounds, {"block": blocks[row[bounds[:-1]]]}, "c"), kind)
+
+
+def _grams(long_: bool, bits: int):
+    """(block, text, copies), a block's rows side by side, to the block's distinct trigrams, or words and bigrams, by bucket."""
 
     def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         b = Block(t.column("text"), t.column("copies").to_numpy())
         times = b.copies[b.text if long_ else b.all_text]
-        yield from _rows(t.column("block")[0].as_py(), [_summed(b.three, times)] if long_ else [_summed(b.all_one, times), _summed(b.all_two, times)]).to_batches(1 << 18)
+        for hashes in [b.three] if long_ else [b.all_one, b.all_two]:
+            yield from _rows(t.column("block")[0].as_py(), *_summed(hashes, times), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -143,9 +186,9 @@ class Counts:
     """Counts of hashes outside a block, from the rows that came back to it."""
 
     def __init__(self, back: pa.Table):
-        h = back.column("h").to_numpy().view(np.uint64)
+        h = np.concatenate([np.empty(0, np.uint64), *_unpacked(back.column("h"), np.uint64)])
         order = np.argsort(h)
-        self.h, self.c = h[order], back.column("c").to_numpy()[order]
+        self.h, self.c = h[order], np.concatenate([np.empty(0, np.int64), *_unpacked(back.column("c"), np.int64)])[order]
         if len(h) and (twice := self.h[1:] == self.h[:-1]).any():  # a block that two tasks read has two rows a hash
             keep = np.concatenate([[True], ~twice])
             self.h, self.c = self.h[keep], self.c[keep]
@@ -198,17 +241,6 @@ def _block_scores(total: int):
     return run
 
 
-def _returned(grams: DataFrame) -> DataFrame:
-    """(h, v, c): grams (h, v) that more than one block has, with their corpus counts c.
-
-    Both sides read one exchange by h, for which they need the same columns.
-    """
-    grams = grams.repartition("h")
-    block, times = F.shiftright("v", TIMES_BITS), F.col("v").bitwiseAND((1 << TIMES_BITS) - 1)
-    counts = grams.groupBy("h").agg(F.sum(times).alias("c"), F.min(block).alias("low"), F.max(block).alias("high")).where("low < high").select("h", "c")
-    return grams.join(counts.hint("shuffle_hash"), "h").select("h", "v", "c")
-
-
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -221,9 +253,10 @@ def score(docs: DataFrame) -> DataFrame:
     texts = texts.mapInArrow(_in_blocks, "block long, words long, text binary, copies long").select("block", "words", "text", "copies", _key(F.col("text")).alias("k"))
     texts = stored(texts, "zstd")
     parts = texts.select("block", "text", "copies")
-    backs = [stored(_returned(parts.mapInArrow(_grams(long_), GRAMS)), "zstd") for long_ in (False, True)]
-    back = backs[0].unionByName(backs[1]).select(F.shiftright("v", TIMES_BITS).alias("block"), "h", "c")
-    total = texts.agg(F.sum(F.col("copies") * F.col("words"))).first()[0] or 0
+    total, distinct = (x or 0 for x in texts.agg(F.sum(F.col("copies") * F.col("words")), F.sum("words")).first())
+    bits = max(1, (2 * distinct // BUCKET_ENTRIES).bit_length())
+    backs = [stored(parts.mapInArrow(_grams(long_, bits), GRAMS).groupBy("bucket").applyInArrow(_merged, COUNTS), "zstd") for long_ in (False, True)]
+    back = backs[0].unionByName(backs[1])
     kind = "k binary, copies long, n_words long, n_tri long, n_bi long, n_uni long, s double"
     waves = []
     for i in range(WAVES):

@@ -274,3 +274,21 @@ def score(docs: DataFrame) -> DataFrame:
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
+
+
+#: The start mark is the empty string, which is no word.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, ['', ''] || coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+places AS (SELECT doc_id, i, CASE WHEN i > 2 THEN w[i - 2] END AS x, w[i - 1] AS y, w[i] AS z FROM (SELECT doc_id, w, unnest(range(2, len(w) + 1)) AS i FROM d WHERE len(w) > 2)),
+rest AS (SELECT doc_id, i, count(*) OVER (PARTITION BY x, y, z) - count(*) OVER (PARTITION BY doc_id, x, y, z) AS c3,
+         count(*) OVER (PARTITION BY y, z) - count(*) OVER (PARTITION BY doc_id, y, z) AS c2, count(*) OVER (PARTITION BY z) - count(*) OVER (PARTITION BY doc_id, z) AS c1 FROM places),
+context AS (SELECT *, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS before2, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS before1 FROM rest),
+n AS (SELECT doc_id, len(w) - 2 AS n_words, greatest(1, sum(len(w) - 2) OVER () - len(w) + 2) AS others FROM d),
+costs AS (SELECT doc_id, c3 > 0 AS tri, c3 <= 0 AND c2 > 0 AS bi,
+          CASE WHEN c3 > 0 THEN log10(c3) - log10(before2) WHEN c2 > 0 THEN log10(0.4 * c2) - log10(before1) ELSE log10(0.16 * greatest(c1, 0.5)) - log10(others) END AS cost
+          FROM context JOIN n USING (doc_id) WHERE i > 2),
+summed AS (SELECT doc_id, count(*) FILTER (tri) AS n_tri, count(*) FILTER (bi) AS n_bi, sum(cost) AS s FROM costs GROUP BY doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(n_tri, 0)::BIGINT AS n_tri, coalesce(n_bi, 0)::BIGINT AS n_bi,
+       (n_words - coalesce(n_tri, 0) - coalesce(n_bi, 0))::BIGINT AS n_uni, round(s / n_words, 5) AS score
+FROM n LEFT JOIN summed USING (doc_id)
+"""

@@ -29,5 +29,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op4_lm_score": _lm.OP4_SQL,
         "op6_decontaminate": _decontaminate.OP6_SQL,
+        "op7_substring_dedup": _substring.OP7_SQL,
     }

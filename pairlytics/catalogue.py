@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import logs, ratings
+from .operators import leaderboards, logs, ratings
 from .sources import pairwise
 from .queries import evaluation as _evaluation
 from .queries import records as _records
@@ -68,6 +68,14 @@ def field_conflicts(spark, d):
     return logs.conflicts(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_quantity")
 
 
+def leaderboard_merge(spark, d):
+    """Three boards of the lines by flag; the tax is a field of all of them, quantity one of each."""
+    lines = table(spark, d, "lineitem").withColumn("page", F.struct("l_orderkey", "l_linenumber"))
+    board = lambda flag, name: lines.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("team"), "page", F.col("l_quantity").alias(name), F.col("l_tax").alias("tax"))
+    out = leaderboards.merged([board("A", "aces"), board("N", "kills"), board("R", "errors")], "team", "page")
+    return out.select("team", "aces", "errors", "kills", "tax", F.array_join("conflicts", ",").alias("conflicts"))
+
+
 def metric_auc(spark, d):
     both = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     out = logs.auc(both, "n_chars", "quality")
@@ -75,7 +83,7 @@ def metric_auc(spark, d):
 
 
 def queries() -> dict:
-    all_ = (team_records, head_to_head, bad_shape_counts, rpi, rpi_ranked, sos_rank, resume_top_bands, spearman, log_dedupe_final_wins, field_conflicts, metric_auc)
+    all_ = (team_records, head_to_head, bad_shape_counts, rpi, rpi_ranked, sos_rank, resume_top_bands, spearman, log_dedupe_final_wins, field_conflicts, leaderboard_merge, metric_auc)
     return {f.__name__: f for f in [*all_, *(q for area in AREAS for q in area.QUERIES)]}
 
 
@@ -101,6 +109,11 @@ count_if(rank <= 50 AND w = 1)::BIGINT AS top50_wins, count_if(rank <= 50 AND w
 SELECT count(*) AS teams, round(corr(rank, official), 6) AS spearman FROM k JOIN f USING (team)""",
         "log_dedupe_final_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase') DESC, event_id DESC) AS n FROM events WHERE user_id IS NOT NULL) WHERE n = 1",
         "field_conflicts": "SELECT l_orderkey, l_linenumber, count(DISTINCT l_quantity) AS n_values FROM lineitem GROUP BY ALL HAVING n_values > 1",
+        "leaderboard_merge": """WITH x AS (SELECT l_suppkey AS team, l_returnflag AS f, l_quantity AS q, l_tax AS t, {'o': l_orderkey, 'l': l_linenumber, 'v': l_quantity} AS byq, {'o': l_orderkey, 'l': l_linenumber, 'v': l_tax} AS byt
+FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R'))
+SELECT team, (max(byq) FILTER (f = 'A'))['v'] AS aces, (max(byq) FILTER (f = 'R'))['v'] AS errors, (max(byq) FILTER (f = 'N'))['v'] AS kills, max(byt)['v'] AS tax,
+concat_ws(',', CASE WHEN count(DISTINCT q) FILTER (f = 'A') > 1 THEN 'aces' END, CASE WHEN count(DISTINCT q) FILTER (f = 'R') > 1 THEN 'errors' END,
+CASE WHEN count(DISTINCT q) FILTER (f = 'N') > 1 THEN 'kills' END, CASE WHEN count(DISTINCT t) > 1 THEN 'tax' END) AS conflicts FROM x GROUP BY team""",
         "metric_auc": """WITH s AS (SELECT n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT x, sum(y) AS p, sum(1 - y) AS q FROM s GROUP BY x),
 b AS (SELECT *, coalesce(sum(q) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
 SELECT (sum(p) + sum(q))::BIGINT AS n, sum(p)::BIGINT AS positives, round(sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0), 6) AS auc FROM b""",

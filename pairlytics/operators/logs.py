@@ -9,7 +9,11 @@ from .ordering import running_below
 
 
 def dedupe_final_wins(log: DataFrame, key: str, final: Column, order: str) -> DataFrame:
-    """One row per key: a final record beats others; among equals the last written stays, then the greatest record. Partially aggregated."""
+    """One row per key: a final record beats others; among equals the last written stays, then the greatest record. Partially aggregated.
+
+    On a stream (update or complete mode) the state is one record per key, so a late final record replaces a provisional one
+    and a later provisional one never replaces a final one.
+    """
     rec = F.struct(*[F.col(c) for c in log.columns])
     return log.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(rec, F.struct(F.coalesce(final, F.lit(False)), F.col(order), rec)).alias("r")).select("r.*")
 

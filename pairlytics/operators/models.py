@@ -82,6 +82,38 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.join(F.broadcast(stats)).withColumns(z).drop(*stats.columns)  # stats is one row
 
 
+def scaled_as(fit: DataFrame, rows: list[DataFrame], columns: list[str]) -> list[DataFrame]:
+    """rows with z_<column> by mean and population deviation of fit (a deviation of 0 counts as 1); a driver-held row of statistics."""
+    s = fit.agg(*[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    z = {f"z_{c}": (F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0) for c in columns}
+    return [r.withColumns(z) for r in rows]
+
+
+def linear(weights: list[float], names: list[str]) -> Column:
+    """Intercept and weighted sum, rounded so that equal rows tie."""
+    return F.round(sum((F.lit(w) * F.col(n) for w, n in zip(weights[1:], names, strict=True)), F.lit(weights[0])), 10)
+
+
+def incremental_auc(fit: DataFrame, test: DataFrame, base: list[str], extra: str, label: str, place: str, resamples: int) -> DataFrame:
+    """One row (n, auc_base, auc_full, gain, low, high): what `extra` adds on test to a logistic model of the base columns.
+
+    Both models are fitted on fit, whose means and deviations also scale test. The interval of the gain is that of
+    resamples which draw the same rows for both models; `place` numbers test's rows from 0. Null where a class is empty.
+    """
+    columns = [*base, extra]
+    fit, test = scaled_as(fit, [fit, test], columns)
+    scores = {name: linear(logistic(fit, zs, label), zs) for name, zs in (("base", [f"z_{c}" for c in base]), ("full", [f"z_{c}" for c in columns]))}
+    scored = test.select(F.col(place).alias("i"), F.col(label).alias("y"), *[v.alias(k) for k, v in scores.items()]).persist()
+    n = scored.count()
+    draws = scored.select(F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("rep"), "i")
+    # replicate 0 is the table itself
+    draws = draws.select("rep", F.when(F.col("rep") == 0, F.col("i")).otherwise(drawn(F.col("rep"), F.col("i"), F.lit(n))).alias("i")).join(scored, "i")
+    both = auc_by(draws, "rep", "base", "y").withColumnRenamed("auc", "auc_base").join(auc_by(draws, "rep", "full", "y").withColumnRenamed("auc", "auc_full"), "rep")
+    both = both.withColumn("gain", F.col("auc_full") - F.col("auc_base")).persist()  # one row a replicate
+    low_high = interval(both.where("rep > 0 AND gain IS NOT NULL"), "gain").select("low", "high")
+    return both.where("rep = 0").select(F.lit(n).cast("long").alias("n"), "auc_base", "auc_full", "gain").join(F.broadcast(low_high))  # one row each
+
+
 def differences(matches: DataFrame, metrics: DataFrame, columns: list[str]) -> DataFrame:
     """matches with d_<column>, the first side's value less the second's, and y = 1 if the first won; rows lacking a value go."""
     a = metrics.select(F.col("team").alias("team_a"), *[F.col(c).alias(f"_a_{c}") for c in columns])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models, probability, ratings
 from ..operators import matches as M
+from ..operators.lineage import cut as stored
 from ..operators.logs import auc
 from ..operators.ordering import ranked
 from ..sources import pairwise
@@ -88,6 +89,43 @@ def auc_bootstrap_md5(spark, d):
     return out.select("n", "low", "high")
 
 
+def _metrics_of(m):
+    """(team, rpi, margin) from these matches alone."""
+    won = F.col("winner") == 0
+    edges = m.select(F.when(won, F.col("team_a")).otherwise(F.col("team_b")).alias("winner"), F.when(won, F.col("team_b")).otherwise(F.col("team_a")).alias("loser"), "gid")
+    margins = M.sides(m).groupBy("team").agg((F.sum(F.col("pf") - F.col("pa")) / F.sum("sets")).alias("margin"))
+    return ratings.rpi(edges).select("team", "rpi").join(margins, "team")
+
+
+def incremental_auc(spark, d):
+    """What the margin adds to the ranking index on the last 30 % of days, both models fitted on the days before."""
+    m = stored(matches(spark, d))
+    cut = M.cut_dates(m, (0.70,)).first()
+    if cut is None:
+        return spark.createDataFrame([], "n long, auc_base double, auc_full double, gain double, low double, high double")
+    before, after = m.where(F.col("date") < F.lit(cut["date"])), m.where(F.col("date") >= F.lit(cut["date"]))
+    metrics = stored(_metrics_of(before))
+    fit, test = (models.differences(x, metrics, ["rpi", "margin"]) for x in (before, after))
+    test = stored(ranked(test.withColumn("o", -F.col("gid")), "o", "gid", "i").withColumn("i", F.col("i") - 1))
+    out = models.incremental_auc(fit, test, ["d_rpi"], "d_margin", "y", "i", RESAMPLES)
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("auc_base", "auc_full", "gain", "low", "high")])
+
+
+def chrono_validation(spark, d):
+    """(date, n_fit, n_test, auc_fit, auc_test, gap) at each quantile date: ratings and weights from the days before it alone."""
+    m, out = stored(matches(spark, d)), []
+    for cut in M.cut_dates(m, (0.55, 0.70, 0.85)).collect():  # three dates at most
+        before, after = m.where(F.col("date") < F.lit(cut["date"])), m.where(F.col("date") >= F.lit(cut["date"]))
+        metrics, names = stored(_metrics_of(before)), ["d_rpi", "d_margin"]
+        fit, test = models.scaled_as(f := models.differences(before, metrics, ["rpi", "margin"]), [f, models.differences(after, metrics, ["rpi", "margin"])], names)
+        z = [f"z_{n}" for n in names]
+        score = models.linear(models.logistic(fit, z, "y"), z)
+        a, b = (auc(x.select(score.alias("score"), "y"), "score", "y").first() for x in (fit, test))
+        gap = None if a["auc"] is None or b["auc"] is None else round(a["auc"] - b["auc"], 6)
+        out.append((str(cut["date"]), a["n"] or 0, b["n"] or 0, a["auc"] and round(a["auc"], 6), b["auc"] and round(b["auc"], 6), gap))
+    return spark.createDataFrame(out, "date string, n_fit long, n_test long, auc_fit double, auc_test double, gap double")
+
+
 def _favoured(spark, d):
     p = models.sigmoid(10 * F.col("score"))
     up = F.col("p") >= 0.5
@@ -137,7 +175,7 @@ def permutation_gap_md5(spark, d):
     return models.permutation_gap(rows, "team", "up", "wp", TRIALS).select(F.round("gap", 6).alias("gap"), F.round("p", 6).alias("p"))
 
 
-QUERIES = [net_points_raw, box_rates, opponent_adjusted, logistic_weights, composite_rating, adj_score, metric_accuracy, match_auc, auc_bootstrap_md5, calibration_buckets, brier, series_length,
+QUERIES = [net_points_raw, box_rates, opponent_adjusted, logistic_weights, composite_rating, adj_score, metric_accuracy, match_auc, auc_bootstrap_md5, incremental_auc, chrono_validation, calibration_buckets, brier, series_length,
            set_match_probability, bracket_title_probs, permutation_gap_md5]
 
 

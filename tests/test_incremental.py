@@ -3,12 +3,16 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pairlytics.operators import leaderboards, logs, models
 
-spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def weights(x, y):
@@ -24,7 +28,7 @@ def pair_auc(s, y):
     return ((a[:, None] > b).sum() + (a[:, None] == b).sum() / 2) / (len(a) * len(b))
 
 
-def test_incremental_auc():
+def test_incremental_auc(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(160, 2)) * [2, 5] + [1, -3]
     y = (rng.random(160) < 1 / (1 + np.exp(-(x[:, 0] - 1) - 0.3 * (x[:, 1] + 3)))).astype(int)
@@ -42,7 +46,7 @@ def test_incremental_auc():
     assert len(got) == 1 and np.allclose(tuple(got[0]), want, atol=1e-9)
 
 
-def test_boards():
+def test_boards(spark):
     a = spark.createDataFrame([("x", 1, 5, 2), ("x", 2, None, 3), ("y", 1, 7, 1), (None, 1, 9, 9)], "k string, page int, kills int, sets int")
     b = spark.createDataFrame([("x", 3, 4, 3), ("z", 1, None, None)], "k string, page int, digs int, sets int")
     got = {r["k"]: (r["kills"], r["digs"], r["sets"], r["conflicts"]) for r in leaderboards.merged([a, b], "k", "page").collect()}
@@ -50,7 +54,7 @@ def test_boards():
     assert leaderboards.merged([a.limit(0), b.limit(0)], "k", "page").isEmpty()
 
 
-def test_final_wins_on_a_stream(tmp_path):
+def test_final_wins_on_a_stream(spark, tmp_path):
     schema, out = "id long, final boolean, at long, points int", []
     src = tmp_path / "in"
     batches = [[(1, False, 1, 10), (2, True, 1, 20)], [(1, True, 2, 11), (2, False, 2, 99), (3, False, 2, 5)], [(1, False, 3, 77), (3, False, 3, 6)]]

@@ -1,6 +1,8 @@
 """Registry of the operator queries of this subpackage and of their SQL."""
 
+from . import centroid_clustering as _clustering
 from . import decontaminate as _decontaminate
+from . import exact_topk as _topk
 from . import language_id as _language_id
 from . import lm_score as _lm
 from . import pii as _pii
@@ -24,6 +26,8 @@ def queries() -> dict:
         "op8_simhash": _simhash.op8_simhash,
         "op9_pii": _pii.op9_pii,
         "op10_tool_calls": _tools.op10_tool_calls,
+        "op11_centroid_clustering": _clustering.op11_centroid_clustering,
+        "op13_exact_topk": _topk.op13_exact_topk,
     }
 
 
@@ -32,4 +36,6 @@ def oracle_sql() -> dict:
         "op4_lm_score": _lm.OP4_SQL,
         "op6_decontaminate": _decontaminate.OP6_SQL,
         "op7_substring_dedup": _substring.OP7_SQL,
+        "op11_centroid_clustering": _clustering.OP11_SQL,
+        "op13_exact_topk": _topk.OP13_SQL,
     }

@@ -10,6 +10,7 @@ from . import quality as _quality
 from . import sentencepiece_codec as _sentencepiece
 from . import simhash as _simhash
 from . import substring_dedup as _substring
+from . import token_alignment as _alignment
 from . import tool_calls as _tools
 from . import url_filter as _urls
 
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op9_pii": _pii.op9_pii,
         "op10_tool_calls": _tools.op10_tool_calls,
         "op11_centroid_clustering": _clustering.op11_centroid_clustering,
+        "op12_token_alignment": _alignment.op12_token_alignment,
         "op13_exact_topk": _topk.op13_exact_topk,
     }
 
@@ -37,5 +39,6 @@ def oracle_sql() -> dict:
         "op6_decontaminate": _decontaminate.OP6_SQL,
         "op7_substring_dedup": _substring.OP7_SQL,
         "op11_centroid_clustering": _clustering.OP11_SQL,
+        "op12_token_alignment": _alignment.op12_token_alignment,
         "op13_exact_topk": _topk.OP13_SQL,
     }

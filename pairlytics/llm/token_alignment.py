@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from .common import settings_of_jobs, stored, table
 from .sentencepiece_codec import MARK, Codec
 
 #: Tokens of an event row; tokens of one side that are swept at once; entries (document and pair) of a batch; links expanded at once.
-RUN, SWEPT, ENTRIES, EXPANDED = 4096, 1 << 20, 3 << 20, 1 << 22
-CACHE_CHUNKS = 300_000
+RUN, SWEPT, ENTRIES, EXPANDED = 4096, 1 << 19, 3 << 20, 1 << 21
+CACHE_CHUNKS = 200_000
 #: Text length from which a run of the same kind of character may be too long for the fast encoder's pattern.
 LONG_RUN = 50_000
 
@@ -51,17 +52,25 @@ class ByteLevel:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the public pattern of such vocabularies
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        spec, letters = json.loads(self.whole.to_str()), byte_alphabet()
-        self.tokens = [b""] * self.whole.get_vocab_size()
-        for token, i in self.whole.get_vocab().items():
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, letters = path, byte_alphabet()
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.tokens = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
             known = all(c in letters for c in token)
             self.tokens[i] = bytes(letters[c] for c in token) if known else token.encode()
         self.fast = self._fast(spec)
 
+    @cached_property
+    def whole(self):
+        """The library's own encoder; it takes much memory, so only where it is needed."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def _fast(self, spec: dict):
         import tiktoken
 
@@ -71,7 +80,8 @@ class ByteLevel:
         if not common or len(special) != len(spec.get("added_tokens") or []) or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
             return None
         ranks = {t: i for i, t in enumerate(self.tokens) if i not in special}
-        if any(model["vocab"].get("".join(m)) != 256 + i for i, m in enumerate(model["merges"])) or len(ranks) != 256 + len(model["merges"]):
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"].get("".join(m)) != 256 + i for i, m in enumerate(merges)) or len(ranks) != 256 + len(merges):
             return None
         return tiktoken.Encoding("from_file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -111,8 +121,9 @@ _held: dict[tuple, ByteLevel | Pieces] = {}
 
 
 def encoder(side: int, path: str) -> ByteLevel | Pieces:
-    """A side's encoder, one per Python worker."""
+    """A side's encoder; a Python worker holds one at a time, as its tasks have one side each."""
     if (side, path) not in _held:
+        _held.clear()
         _held[side, path] = (ByteLevel, Pieces)[side](path)
     return _held[side, path]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import stored
 from .ordering import ranked
 
 #: Least winning share and least share of games against members of an at-large team; rank of a team without one.
@@ -34,7 +35,7 @@ def resume(ranks: DataFrame, bands: DataFrame) -> DataFrame:
 
 def select(autos: DataFrame, resumes: DataFrame, gate: DataFrame, size: int, seeds: int) -> DataFrame:
     """(team, bid, seed): qualifiers and the best other eligible teams up to size places; the first `seeds` by rank have a seed."""
-    auto = autos.select("team").distinct().persist()
+    auto = stored(autos.select("team").distinct())
     places = max(0, size - auto.count())
     pool = resumes.join(gate.where("at_large").select("team"), "team", "left_semi").join(auto, "team", "left_anti")
     chosen = ranked(pool.withColumn("_s", -F.col("score")), "_s", "team", "place").where(F.col("place") <= places)

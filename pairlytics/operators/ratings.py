@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import stored
 from .ordering import ranked
 
 __all__ = ["bands", "head_to_head", "meetings", "ranked", "records", "rpi"]
@@ -35,7 +36,7 @@ def records(edges: DataFrame) -> DataFrame:
 
 def rpi(edges: DataFrame) -> DataFrame:
     """(team, wins, losses, wp, owp, oowp, rpi); an opponent who played no one else counts 0."""
-    met = meetings(edges).persist()  # a row per pair of teams, read by each term
+    met = stored(meetings(edges))  # a row per pair of teams, read by each term
     total = met.groupBy("team").agg(F.sum("won").alias("wins"), F.sum("lost").alias("losses"))
     opp = total.select(F.col("team").alias("opp"), F.col("wins").alias("ow"), F.col("losses").alias("ol"))
     n = F.col("won") + F.col("lost")

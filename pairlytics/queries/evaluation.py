@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models, probability, ratings
 from ..operators import matches as M
-from ..operators.lineage import cut as stored
+from ..operators.lineage import stored
 from ..operators.logs import auc
 from ..operators.ordering import ranked
 from ..sources import pairwise

@@ -1,17 +1,20 @@
 """Field, linkage, scalars, logs and gates."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import field, gates, linkage, logs, ratings
 from ..operators import matches as M
+from ..operators.lineage import stored
 from ..operators.ordering import ranked
 from ..sources import pairwise
 from ..sources.pairwise import table
 from .evaluation import _rpi
-from .records import GAMEX, conference_records, match_sides, matches, members, teams
+from .records import GAMEX, conference_records, conferences, match_sides, matches, members, teams
 
 SIZE, SEEDS = 24, 8
+ACCENTS = ("aeioun", "áèîöüñ")
 
 
 def conference_aq(spark, d):
@@ -19,10 +22,12 @@ def conference_aq(spark, d):
 
 
 def _field(spark, d):
-    ranks = ranked(_rpi(spark, d), "rpi", "team").persist()
-    bands = ratings.bands(pairwise.edges(spark, d), ranks).select("team", "top25_wins", "top50_wins")
-    auto = field.qualifiers(conference_records(spark, d).where("wins > losses"), ranks)
-    return field.select(auto, field.resume(ranks, bands), field.gates(M.totals(match_sides(spark, d), members(spark, d))), SIZE, SEEDS)
+    games = stored(pairwise.games(spark, d))
+    edges, sides = pairwise.edges_of(games), M.sides(M.decided(games))
+    ranks = stored(ranked(ratings.rpi(edges), "rpi", "team").select("team", "rank"))
+    bands = ratings.bands(edges, ranks).select("team", "top25_wins", "top50_wins")
+    auto = field.qualifiers(M.conference_records(sides, conferences(spark, d)).where("wins > losses").withColumn("pct", F.round("pct", 6)), ranks)
+    return field.select(auto, stored(field.resume(ranks, bands)), field.gates(M.totals(sides, members(spark, d))), SIZE, SEEDS)
 
 
 def seed_field(spark, d):
@@ -39,7 +44,10 @@ def field_backtest(spark, d):
 
 
 def _people(spark, d, odd: int):
+    """The parts of odd keys are a roster that writes names its own way: accents, a suffix, or a hyphen; those of even keys are the pool."""
     p = table(spark, d, "part").where(F.col("p_partkey") % 2 == odd)
+    way = F.when(F.col("p_partkey") % 8 == 1, F.translate("p_name", *ACCENTS)).when(F.col("p_partkey") % 8 == 3, F.concat("p_name", F.lit(" Jr."))).when(F.col("p_partkey") % 8 == 5, F.replace("p_name", F.lit(" "), F.lit("-")))
+    p = p.withColumn("p_name", F.coalesce(way, "p_name"))
     first, last = names.first_and_rest(F.col("p_name"))
     return p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("team"), first.alias("first"), last.alias("last"), F.col("p_type").alias("year"), F.col("p_size").cast("double").alias("production"))
 
@@ -49,8 +57,25 @@ def roster_join_pass1(spark, d):
     return out.select("id", "pool_id", F.col("n").cast("long").alias("n"), "method")
 
 
+def _linked(spark, d):
+    roster, pool = (linkage.prepared(_people(spark, d, odd)) for odd in (1, 0))
+    return roster, pool, stored(linkage.link(roster, pool))
+
+
 def roster_join(spark, d):
-    return linkage.link(_people(spark, d, 1), _people(spark, d, 0)).groupBy("status").agg(F.count("*").alias("n"))
+    return _linked(spark, d)[2].groupBy("status", "why").agg(F.count("*").alias("n"))
+
+
+def roster_links(spark, d):
+    return _linked(spark, d)[2]
+
+
+def unresolved_concentration(spark, d):
+    return linkage.concentration(_linked(spark, d)[2])
+
+
+def linkage_audit(spark, d):
+    return linkage.audit(*_linked(spark, d))
 
 
 def returning_share(spark, d):
@@ -66,23 +91,29 @@ def top_departures(spark, d):
     """The two departed rows of most production of each team."""
     pool = _people(spark, d, 0)
     gone = linkage.departed(pool, linkage.unique_pairs(linkage.exact_passes(_people(spark, d, 1), pool)))
-    top = gone.groupBy("team").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("production", (-F.col("id")).alias("o"))))), 1, 2).alias("x"))
-    return top.select("team", F.explode("x").alias("x")).select("team", (-F.col("x.o")).alias("id"), "x.production")
+    place = F.row_number().over(Window.partitionBy("team").orderBy(F.desc("production"), "id"))  # limited before the shuffle
+    return gone.select("team", "id", "production", place.alias("place")).where("place <= 2").drop("place")
 
 
 def fuzzy_audit(spark, d):
-    """Free names like those of unlinked rows, in the largest team only by key, never by pair of all."""
-    a, b = _people(spark, d, 1), _people(spark, d, 0)
-    found = linkage.exact_passes(a, b)
-    return linkage.near_names(a.join(found.select("id"), "id", "left_anti"), b).select("id", "pool_id", F.round("ratio", 4).alias("ratio"))
+    """The most similar unclaimed name of the own team, for each unresolved person."""
+    roster, pool, linked = _linked(spark, d)
+    left = roster.join(linked.where("status = 'UNRESOLVED'").select("id"), "id", "left_semi")
+    return linkage.near_names(left, linkage.unclaimed(pool, linked)).withColumn("ratio", F.round("ratio", 4))
+
+
+def _school():
+    """Names in need of every rule: an abbreviation that applies and one that doesn't, an alias, apostrophes and marks."""
+    key = F.col("s_suppkey")
+    return F.when(key % 4 == 0, F.concat(F.lit(" St. "), "s_name", F.lit("'s & Co."))).when(key % 4 == 1, F.concat(F.lit("Northern Colo.St.#"), key.cast("string"))).when(key % 4 == 2, F.lit(" New  Orleans")).otherwise(F.concat(F.lit("N.C.A&T Miss.Tech "), "s_name"))
 
 
 def name_norm(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), names.norm(F.concat(F.lit(" St. "), "s_name", F.lit("'s & Co."))).alias("name"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), names.norm(_school()).alias("name"))
 
 
 def name_keys(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" Jr")).alias("n"))
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.translate("p_name", *ACCENTS), F.when(F.col("p_partkey") % 2 == 0, " Jr.").otherwise("")).alias("n"))
     first, last = names.first_and_rest(F.col("n"))
     return p.select(F.col("p_partkey").alias("id"), names.narrow_key(first, last).alias("narrow"), names.whole_key(first, last).alias("whole"), F.size(names.tokens(F.col("n"))).cast("long").alias("n_tokens"))
 
@@ -177,7 +208,7 @@ def events_windowed(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("string").alias("start"), "event_type", "n")
 
 
-QUERIES = [conference_aq, seed_field, at_large_gates, field_backtest, roster_join_pass1, roster_join, returning_share, top_departures, fuzzy_audit, name_norm, name_keys, name_shapes, parse_record, numeric_casts, text_mechanism,
+QUERIES = [conference_aq, seed_field, at_large_gates, field_backtest, roster_join_pass1, roster_join, roster_links, unresolved_concentration, linkage_audit, returning_share, top_departures, fuzzy_audit, name_norm, name_keys, name_shapes, parse_record, numeric_casts, text_mechanism,
            html_anchors, content_names, log_last_wins, resume_todo_ids, first_seen_users, freshness_settled_dates, range_rules, order_inversions, rank_permutation, digest_equality, freshness_sanity, matcher_validation,
            player_season_totals, events_windowed]
 
@@ -192,8 +223,20 @@ cr AS (SELECT t.conference, ms.team, sum(won) AS wins, count(*) - sum(won) AS lo
     fld = f"""{cr}, {gate}, au AS (SELECT DISTINCT team FROM {aq.format('WHERE cr.wins > cr.losses')}), bd AS (SELECT s.team, count_if(k.rank <= 25 AND w = 1) AS t25, count_if(k.rank <= 50 AND w = 1) AS t50 FROM side2 s JOIN k ON k.team = s.opp GROUP BY 1),
 rs AS (SELECT team, rank, rank - 2 * t25 - t50 AS score FROM k JOIN bd USING (team)), al AS (SELECT team FROM (SELECT team, row_number() OVER (ORDER BY score, team) AS i FROM rs JOIN gt USING (team) WHERE reason = '' AND team NOT IN (SELECT team FROM au)) WHERE i <= greatest(0, {SIZE} - (SELECT count(*) FROM au))),
 bt AS (SELECT team, 'auto' AS bid FROM au UNION ALL SELECT team, 'at-large' FROM al), fl AS (SELECT team, bid, CASE WHEN i <= {SEEDS} THEN i END AS seed FROM (SELECT *, row_number() OVER (ORDER BY rank, team) AS i FROM bt JOIN rs USING (team)))"""
-    people = "pe AS (SELECT p_partkey AS id, p_brand AS team, split_part(p_name, ' ', 1) AS first, nullif(trim(regexp_replace(p_name, '^\\S*', '')), '') AS last, p_size::DOUBLE AS production FROM part)"
-    p1 = f"WITH {people}, po AS (SELECT team, first, last, count(*) AS n, min(id) AS pool_id FROM pe WHERE id % 2 = 0 GROUP BY ALL), f AS (SELECT id, CASE WHEN n = 1 THEN pool_id END AS pool_id, n, 'exact' AS method FROM pe JOIN po USING (team, first, last) WHERE id % 2 = 1), u AS (SELECT pool_id AS id FROM f WHERE pool_id IS NOT NULL GROUP BY 1 HAVING count(*) = 1)"
+    accented = f"translate(p_name, '{ACCENTS[0]}', '{ACCENTS[1]}')"
+    suffix = r"\b(jr|sr|ii|iii|iv|v)\.?$"
+    letters = "regexp_replace(regexp_replace(strip_accents(lower({})), '" + suffix + "', ''), '[^a-z]', '', 'g')"
+    narrow, whole = f"regexp_replace(strip_accents(lower(coalesce(first, ''))), '[^a-z]', '', 'g') || '|' || " + letters.format("coalesce(last, '')"), letters.format("concat_ws(' ', first, last)")
+    people = f"""pn AS (SELECT *, CASE p_partkey % 8 WHEN 1 THEN {accented} WHEN 3 THEN p_name || ' Jr.' WHEN 5 THEN replace(p_name, ' ', '-') ELSE p_name END AS n FROM part),
+pf AS (SELECT p_partkey AS id, p_brand AS team, split_part(n, ' ', 1) AS first, nullif(trim(regexp_replace(n, '^\\S*', '')), '') AS last, p_size::DOUBLE AS production FROM pn),
+pe AS (SELECT *, concat_ws('|', first, last) AS k1, {narrow} AS k2, {whole} AS k3 FROM pf)"""
+    step = "p{i} AS (SELECT pe.id, CASE WHEN n = 1 THEN pool_id END AS pool_id, n, '{name}' AS method FROM pe JOIN (SELECT team, k{i} AS k, count(*) AS n, min(id) AS pool_id FROM pe WHERE id % 2 = 0 GROUP BY ALL) q ON q.team = pe.team AND q.k = pe.k{i} WHERE pe.id % 2 = 1 AND length(pe.k{i}) > 1 {rest})"
+    steps = ", ".join(step.format(i=i, name=n, rest="".join(f"AND pe.id NOT IN (SELECT id FROM p{j}) " for j in range(1, i))) for i, n in enumerate(("exact", "narrow", "whole"), 1))
+    p1 = f"WITH {people}, {steps}, f AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3), u AS (SELECT pool_id AS id FROM f WHERE pool_id IS NOT NULL GROUP BY 1 HAVING count(*) = 1)"
+    normed = "replace(replace(lower(trim(CASE s_suppkey % 4 WHEN 0 THEN ' St. ' || s_name || '''s & Co.' WHEN 1 THEN 'Northern Colo.St.#' || s_suppkey WHEN 2 THEN ' New  Orleans' ELSE 'N.C.A&T Miss.Tech ' || s_name END)), '&', ' and '), '''', '')"
+    for short, long in names.ABBREVIATIONS:
+        normed = f"regexp_replace({normed}, '{names.abbreviation(short)}', '{long}', 'g')"
+    normed = f"trim(regexp_replace({normed}, '[^a-z0-9]+', ' ', 'g'))"
     scan = "row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)"
     return {
         "conference_aq": both + cr + f" SELECT conference, team FROM {aq.format('')}",
@@ -203,8 +246,9 @@ bt AS (SELECT team, 'auto' AS bid FROM au UNION ALL SELECT team, 'at-large' FROM
         "roster_join_pass1": p1 + " SELECT * FROM f",
         "returning_share": p1 + ", x AS (SELECT team, sum(CASE WHEN u.id IS NOT NULL THEN production ELSE 0 END) AS ret, sum(CASE WHEN u.id IS NULL THEN production ELSE 0 END) AS departed FROM pe LEFT JOIN u ON u.id = pe.id WHERE pe.id % 2 = 0 GROUP BY 1) SELECT team, ret AS \"returning\", departed, round(ret / nullif(ret + departed, 0), 6) AS share FROM x",
         "top_departures": p1 + " SELECT team, id, production FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY production DESC, id) AS i FROM pe WHERE id % 2 = 0 AND production > 0 AND id NOT IN (SELECT id FROM u)) WHERE i <= 2",
-        "name_norm": "SELECT s_suppkey AS id, trim(regexp_replace(regexp_replace(replace(lower(trim(' St. ' || s_name || '''s & Co.')), '&', ' and '), '''', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM supplier",
-        "name_keys": "WITH n AS (SELECT p_partkey AS id, lower(p_name) AS n FROM part) SELECT id, regexp_replace(split_part(n, ' ', 1), '[^a-z]', '', 'g') || '|' || regexp_replace(substr(n, instr(n, ' ') + 1), '[^a-z]', '', 'g') AS narrow, regexp_replace(n, '[^a-z]', '', 'g') AS whole, len(list_filter(regexp_split_to_array(n || ' jr', '[^a-z]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM n",
+        "name_norm": f"SELECT id, CASE n WHEN 'new orleans' THEN 'lsu new orleans' ELSE n END AS name FROM (SELECT s_suppkey AS id, {normed} AS n FROM supplier)",
+        "name_keys": f"""WITH n AS (SELECT p_partkey AS id, {accented} || CASE WHEN p_partkey % 2 = 0 THEN ' Jr.' ELSE '' END AS n FROM part), s AS (SELECT id, split_part(n, ' ', 1) AS first, nullif(trim(regexp_replace(n, '^\\S*', '')), '') AS last, n FROM n)
+SELECT id, {narrow} AS narrow, {whole} AS whole, len(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(n)), '{suffix}', ''), '[^a-z]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM s""",
         "name_shapes": r"""SELECT count(*) AS n, count_if(contains(p_name, '-'))::BIGINT AS hyphen, count_if(regexp_matches(p_name, '(?i)\b(jr|sr|ii|iii|iv)\.?$'))::BIGINT AS suffix, count_if(regexp_matches(p_name, '\S+\s+\S+\s+\S+'))::BIGINT AS three_parts, count_if(contains(p_name, ''''))::BIGINT AS apostrophe, count_if(regexp_matches(p_name, '[^\x00-\x7F]'))::BIGINT AS diacritic FROM part""",
         "parse_record": "SELECT s_suppkey, s_suppkey::BIGINT AS wins, s_suppkey % 7 AS losses FROM supplier",
         "numeric_casts": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey * 1000 WHEN 1 THEN p_size::BIGINT END AS or_null, 0::BIGINT AS or_zero FROM part",

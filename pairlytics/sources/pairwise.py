@@ -23,7 +23,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gid, team_a, team_b, points_a, points_b, sets, game_state, date, championship) of two-sided orders; kept, as a query reads it several times."""
+    """(gid, team_a, team_b, points_a, points_b, sets, game_state, date, championship) of two-sided orders."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("gid"), F.col("o_orderstatus").alias("game_state"), F.to_date("o_orderdate").alias("date"), (F.col("o_orderpriority") == "1-URGENT").alias("championship")
     )
@@ -31,13 +31,17 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.join(orders, "gid").select(
         "gid", F.col("a.team").alias("team_a"), F.col("b.team").alias("team_b"), F.col("a.points").alias("points_a"), F.col("b.points").alias("points_b"),
         (F.col("a.lines") + F.col("b.lines")).alias("sets"), "game_state", "date", "championship",
-    ).persist()
+    )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges_of(games(spark, sf_dir))
+
+
+def edges_of(games_: DataFrame) -> DataFrame:
     """(winner, loser, gid) of the final games with a winner."""
     won = F.col("points_a") > F.col("points_b")
-    final = games(spark, sf_dir).where("game_state = 'F' AND points_a <> points_b")
+    final = games_.where("game_state = 'F' AND points_a <> points_b")
     return final.select(F.when(won, F.col("team_a")).otherwise(F.col("team_b")).alias("winner"), F.when(won, F.col("team_b")).otherwise(F.col("team_a")).alias("loser"), "gid")
 
 

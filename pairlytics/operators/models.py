@@ -1,4 +1,4 @@
-"""Opponent adjustment, logistic weights, composites, evaluation by resampling."""
+"""Logistic weights, composites, evaluation by resampling."""
 
 from __future__ import annotations
 
@@ -6,46 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Teams up to which the adjustment's normal equations (two unknowns a team) are solved on the driver: 800 MB at the bound.
-MAX_TEAMS = 5_000
 #: Penalty of all logistic weights, and bound of a sigmoid's argument.
 L2, CLAMP = 1e-3, 30.0
 
 
-def opponent_adjusted(sides: DataFrame) -> DataFrame:
-    """(team, adjusted, games): least squares of y = mean + offence(team) - defence(opp) + h * (home or not), offence plus defence, centred.
-
-    Spark adds up the normal equations (a row per pair of teams); they are solved once. Teams that no chain of games
-    connects aren't comparable: the minimum-norm solution is taken. An empty table gives no rows; over MAX_TEAMS an
-    error is raised.
-    """
-    spark = sides.sparkSession
-    s = F.when(F.col("home"), 1.0).otherwise(-1.0)
-    pairs = sides.groupBy("team", "opp").agg(F.count("*").alias("n"), F.sum("pf").cast("double").alias("y"), F.sum(s).alias("s"), F.sum(s * F.col("pf")).alias("sy")).persist()
-    n_teams = pairs.select(F.explode(F.array("team", "opp")).alias("t")).distinct().count()
-    if n_teams > MAX_TEAMS:
-        raise ValueError(f"{n_teams} teams: the normal equations are solved for {MAX_TEAMS} at most")
-    rows = pairs.collect()
-    pairs.unpersist()
-    teams = sorted({r["team"] for r in rows} | {r["opp"] for r in rows})
-    at, t = {x: i for i, x in enumerate(teams)}, len(teams)
-    gram, right, games = np.zeros((2 * t + 2, 2 * t + 2)), np.zeros(2 * t + 2), np.zeros(t, np.int64)
-    for r in rows:
-        i, j, n = at[r["team"]], t + at[r["opp"]], r["n"]
-        games[i] += n
-        for a, b, v in ((i, i, n), (j, j, n), (i, j, -n), (i, 2 * t, n), (j, 2 * t, -n), (i, 2 * t + 1, r["s"]), (j, 2 * t + 1, -r["s"]), (2 * t, 2 * t + 1, r["s"])):
-            gram[a, b] += v
-            if a != b:
-                gram[b, a] += v
-        gram[2 * t, 2 * t] += n
-        gram[2 * t + 1, 2 * t + 1] += n
-        right += np.bincount([i, 2 * t, 2 * t + 1], [r["y"], r["y"], r["sy"]], 2 * t + 2) - np.bincount([j], [r["y"]], 2 * t + 2)
-    x = np.linalg.lstsq(gram, right, rcond=None)[0] if t else np.empty(0)
-    both = x[:t] + x[t : 2 * t]
-    out = [(k, float(v), int(g)) for k, v, g in zip(teams, both - both.mean() if t else both, games, strict=True)]
-    return spark.createDataFrame(out, f"team {sides.schema['team'].dataType.simpleString()}, adjusted double, games long")
-
-
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.lit(CLAMP), F.greatest(F.lit(-CLAMP), z))))
 

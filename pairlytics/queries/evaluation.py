@@ -4,7 +4,7 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from ..operators import models, probability, ratings
+from ..operators import adjustment, metrics, models, probability, ratings
 from ..operators import matches as M
 from ..operators.lineage import stored
 from ..operators.logs import auc
@@ -36,7 +36,31 @@ def box_rates(spark, d):
 
 
 def opponent_adjusted(spark, d):
-    return models.opponent_adjusted(match_sides(spark, d)).withColumn("adjusted", F.round("adjusted", 6))
+    """Points of a match, adjusted: offence and defence together."""
+    out = adjustment.solve(match_sides(spark, d).select("team", "opp", "home", F.col("pf").alias("points")), ["points"])
+    return out.select("team", F.round(F.col("points_off") + F.col("points_def"), 6).alias("adjusted"), F.col("points_n").alias("games"))
+
+
+def _boxes(spark, d):
+    """(gid, team, counts) of the sides that have a line which isn't returned as A."""
+    of = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")).otherwise(0.0))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("gid"), F.col("l_suppkey").alias("team"))
+    out = lines.agg(of("N").alias("kills"), of("R").alias("errors"), F.sum("l_quantity").alias("attempts"), F.sum(F.round(F.col("l_discount") * 100)).alias("reception_errors"), F.sum("l_quantity").alias("reception_attempts"), F.count_if(F.col("l_returnflag") != "A").alias("n"))
+    return out.where("n > 0").drop("n")
+
+
+def _measures(spark, d, adjusted):
+    games = stored(pairwise.games(spark, d))
+    return metrics.build(M.sides(M.decided(games)), _boxes(spark, d), pairwise.edges_of(games), adjusted)
+
+
+def team_metrics_raw(spark, d):
+    return _measures(spark, d, False).select("team", *[F.round(c, 6).alias(c) for c in metrics.RAW])
+
+
+def team_metrics(spark, d):
+    """All twelve measures."""
+    return _measures(spark, d, True).select("team", *[F.round(c, 6).alias(c) for c in (*metrics.RAW, *metrics.ADJUSTED)])
 
 
 def _weights(spark, d):
@@ -175,7 +199,7 @@ def permutation_gap_md5(spark, d):
     return models.permutation_gap(rows, "team", "up", "wp", TRIALS).select(F.round("gap", 6).alias("gap"), F.round("p", 6).alias("p"))
 
 
-QUERIES = [net_points_raw, box_rates, opponent_adjusted, logistic_weights, composite_rating, adj_score, metric_accuracy, match_auc, auc_bootstrap_md5, incremental_auc, chrono_validation, calibration_buckets, brier, series_length,
+QUERIES = [net_points_raw, box_rates, opponent_adjusted, team_metrics_raw, team_metrics, logistic_weights, composite_rating, adj_score, metric_accuracy, match_auc, auc_bootstrap_md5, incremental_auc, chrono_validation, calibration_buckets, brier, series_length,
            set_match_probability, bracket_title_probs, permutation_gap_md5]
 
 
@@ -203,6 +227,11 @@ def oracle(rpi: str) -> dict[str, str]:
         "net_points_raw": x + f", {margin} SELECT team, round(margin, 6) AS margin FROM g",
         "box_rates": """WITH b AS (SELECT l_suppkey AS team, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS kills, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS errors,
 sum(l_quantity) AS attempts, sum(round(l_discount * 100)) AS re FROM lineitem GROUP BY 1) SELECT team, kills, errors, attempts, round((kills - errors) / attempts, 6) AS hit_eff, round(re / attempts, 6) AS reception FROM b""",
+        "team_metrics_raw": both + """, bx AS (SELECT l_orderkey AS gid, l_suppkey AS team, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS kills, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS errors,
+sum(l_quantity) AS attempts, sum(round(l_discount * 100)) AS re FROM lineitem GROUP BY ALL HAVING count_if(l_returnflag <> 'A') > 0),
+sb AS (SELECT ms.*, b.kills, b.errors, b.attempts, b.re, o.kills AS okills, o.errors AS oerrors, o.attempts AS oattempts FROM ms LEFT JOIN (bx b JOIN bx o ON o.gid = b.gid AND o.team <> b.team) ON b.gid = ms.gid AND b.team = ms.team AND o.team = ms.opp),
+x AS (SELECT team, avg(won) AS win_pct, (sum(kills) - sum(errors)) / nullif(sum(attempts), 0) AS own, (sum(okills) - sum(oerrors)) / nullif(sum(oattempts), 0) AS opp, sum(pf - pa) / sum(sets) AS net, 1 - sum(re) / nullif(sum(attempts), 0) AS so FROM sb GROUP BY team)
+SELECT team, round(rpi, 6) AS rpi, round(win_pct, 6) AS win_pct, round(own, 6) AS own_hit_eff, round(-opp, 6) AS opp_hit_eff, round(own - opp, 6) AS hit_eff_diff, round(net, 6) AS net_points_set, round(so, 6) AS sideout_proxy FROM x JOIN r USING (team)""",
         "adj_score": both + """, s AS (SELECT team, margin, row_number() OVER (ORDER BY round(owp, 10) DESC, team) AS sos FROM r JOIN g USING (team))
 SELECT team, sos, round((margin - avg(margin) OVER ()) / stddev_pop(margin) OVER () - 2 * (sos - avg(sos) OVER ()) / stddev_pop(sos) OVER (), 5) AS adj FROM s""",
         "metric_accuracy": both + sc + " SELECT championship, count(*) AS games, round(avg(((score > 0) = (y = 1))::INT), 6) AS accuracy FROM sc GROUP BY 1",

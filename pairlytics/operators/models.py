@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import stored
+
 #: Penalty of all logistic weights, and bound of a sigmoid's argument.
 L2, CLAMP = 1e-3, 30.0
+#: Rows of a table that a range of scores of its resamples stands for, and rows of a shuffle that are sorted together.
+RANGE_SCORES, SORTED_ROWS = 200_000, 10_000
 
 
 def sigmoid(z: Column) -> Column:
@@ -67,13 +73,12 @@ def incremental_auc(fit: DataFrame, test: DataFrame, base: list[str], extra: str
     columns = [*base, extra]
     fit, test = scaled_as(fit, [fit, test], columns)
     scores = {name: linear(logistic(fit, zs, label), zs) for name, zs in (("base", [f"z_{c}" for c in base]), ("full", [f"z_{c}" for c in columns]))}
-    scored = test.select(F.col(place).alias("i"), F.col(label).alias("y"), *[v.alias(k) for k, v in scores.items()]).persist()
+    scored = test.select(F.col(place).alias("i"), F.col(label).alias("y"), *[v.alias(k) for k, v in scores.items()])
+    scored = stored(scored)
     n = scored.count()
-    draws = scored.select(F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("rep"), "i")
-    # replicate 0 is the table itself
-    draws = draws.select("rep", F.when(F.col("rep") == 0, F.col("i")).otherwise(drawn(F.col("rep"), F.col("i"), F.lit(n))).alias("i")).join(scored, "i")
-    both = auc_by(draws, "rep", "base", "y").withColumnRenamed("auc", "auc_base").join(auc_by(draws, "rep", "full", "y").withColumnRenamed("auc", "auc_full"), "rep")
-    both = both.withColumn("gain", F.col("auc_full") - F.col("auc_base")).persist()  # one row a replicate
+    draws = scored.withColumn("rep", F.lit(0)).unionByName(resampled(scored, "i", resamples))  # replicate 0 is the table itself
+    both = auc_by(draws, "rep", "base", "y", scored).withColumnRenamed("auc", "auc_base").join(auc_by(draws, "rep", "full", "y", scored).withColumnRenamed("auc", "auc_full"), "rep")
+    both = stored(both.withColumn("gain", F.col("auc_full") - F.col("auc_base")))  # one row a replicate
     low_high = interval(both.where("rep > 0 AND gain IS NOT NULL"), "gain").select("low", "high")
     return both.where("rep = 0").select(F.lit(n).cast("long").alias("n"), "auc_base", "auc_full", "gain").join(F.broadcast(low_high))  # one row each
 
@@ -92,12 +97,37 @@ def drawn(trial: Column, place: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", trial, place).cast("binary")), 1, 8), 16, 10).cast("long") % n
 
 
-def auc_by(rows: DataFrame, by: str, score: str, label: str) -> DataFrame:
-    """(by, auc): Mann-Whitney per group, ties count half, null where a class is empty; groups are resamples of bounded size."""
+def auc_by(rows: DataFrame, by: str, score: str, label: str, scores: DataFrame | None = None) -> DataFrame:
+    """(by, auc): Mann-Whitney per group, ties count half, null where a class is empty.
+
+    Counts per group and score come first. Running sums over them are taken by group and range of scores, above the sums of the ranges before; the
+    ranges are cut so that a range has some RANGE_SCORES rows of `scores`, the table that groups are drawn from (one range without it).
+    """
     per = rows.groupBy(by, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
-    return per.withColumn("below", below).groupBy(by).agg(F.try_divide(total, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
+    cut = per.withColumn("_r", _range_of(scores, score))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(by, "_r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.withColumn("_inside", inside)
+    ranges = cut.groupBy(by, "_r").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("_inside") + F.col("n") / 2)).alias("w"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    total = F.sum(F.col("w") + F.col("p") * F.col("_before"))
+    return ranges.withColumn("_before", before).groupBy(by).agg(F.try_divide(total, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
+
+
+def _range_of(scores: DataFrame | None, score: str) -> Column:
+    """Number of the range of a score, by cuts at approximate quantiles of a table; 0 if one range will do."""
+    n = 0 if scores is None else scores.count()
+    if n <= RANGE_SCORES:
+        return F.lit(0)
+    parts = -(-n // RANGE_SCORES)
+    cuts = scores.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(score)))
+
+
+def resampled(rows: DataFrame, place: str, resamples: int) -> DataFrame:
+    """(rep and rows' columns): each replicate from 1 on draws as many rows as there are, by md5 of its number and the place; `place` numbers rows from 0."""
+    n = rows.count()
+    draws = rows.select(F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"), F.col(place).alias("_i"))
+    return draws.select("rep", drawn(F.col("rep"), F.col("_i"), F.lit(n)).alias(place)).join(rows, place)
 
 
 def interval(values: DataFrame, value: str) -> DataFrame:
@@ -110,13 +140,24 @@ def interval(values: DataFrame, value: str) -> DataFrame:
 def permutation_gap(rows: DataFrame, key: str, group: str, value: str, trials: int) -> DataFrame:
     """(gap, p): difference of the means of group 1 and 0, and the share of shuffles at least as far apart, (hits + 1) / (trials + 1).
 
-    A shuffle orders the keys by md5 of trial and key; rows without a group are left out, an empty group gives null.
+    A shuffle orders the keys by md5 of trial and key, and its first group are the first of them. It isn't sorted whole: sums are taken by trial and
+    leading digits of the digest, and only the digits in which the first group ends are sorted. Rows without a group are left out, an empty
+    group gives null.
     """
-    pool = rows.where(F.col(group).isNotNull()).select(key, F.col(group).cast("int").alias("g"), F.col(value).alias("x"))
-    real = pool.agg((F.avg(F.when(F.col("g") == 1, F.col("x"))) - F.avg(F.when(F.col("g") == 0, F.col("x")))).alias("gap"), F.sum("g").alias("n1"))
-    each = pool.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).join(F.broadcast(real))  # real is one row
-    place = F.row_number().over(Window.partitionBy("trial").orderBy(F.md5(F.concat_ws("|", "trial", key).cast("binary")), key))
-    first = F.col("place") <= F.col("n1")
-    shuffled = each.withColumn("place", place).groupBy("trial", "gap").agg((F.avg(F.when(first, F.col("x"))) - F.avg(F.when(~first, F.col("x")))).alias("g"))
-    hits = F.count_if(F.round(F.abs("g"), 12) >= F.round(F.abs("gap"), 12))
-    return shuffled.agg(F.max("gap").alias("gap"), F.when(F.max("gap").isNotNull(), (hits + 1) / (trials + 1)).alias("p"))
+    pool = stored(rows.where(F.col(group).isNotNull()).select(F.col(key).alias("_key"), F.col(group).cast("int").alias("g"), F.col(value).cast("double").alias("x")))
+    real = pool.agg((F.avg(F.when(F.col("g") == 1, F.col("x"))) - F.avg(F.when(F.col("g") == 0, F.col("x")))).alias("gap"), F.sum("g").alias("n1"), F.count("*").alias("n"), F.sum("x").alias("s")).first()
+    if real["gap"] is None:
+        return pool.sparkSession.createDataFrame([(None, None)], "gap double, p double")
+    digits = max(2, math.ceil(math.log(max(1, real["n"] / SORTED_ROWS), 16)))
+    each = pool.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("h", F.md5(F.concat_ws("|", "trial", "_key").cast("binary")))
+    each = each.select("trial", "h", "_key", "x", F.substring("h", 1, digits).alias("d"))
+    upto = F.sum("c").over(Window.partitionBy("trial").orderBy("d"))
+    cells = each.groupBy("trial", "d").agg(F.count("*").alias("c"), F.sum("x").alias("s")).withColumn("upto", upto).where(F.col("upto") - F.col("c") < real["n1"])
+    inside = cells.where(F.col("upto") <= real["n1"]).select("trial", F.col("s").alias("part"))
+    split = cells.where(F.col("upto") > real["n1"]).select("trial", "d", (real["n1"] - F.col("upto") + F.col("c")).alias("k"))
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("h", "_key"))
+    edge = each.join(split, ["trial", "d"]).withColumn("place", place).where("place <= k").select("trial", F.col("x").alias("part"))
+    one = inside.unionByName(edge).groupBy("trial").agg(F.sum("part").alias("s1"))
+    gap = F.col("s1") / real["n1"] - (real["s"] - F.col("s1")) / (real["n"] - real["n1"])
+    hits = F.count_if(F.round(F.abs(gap), 12) >= round(abs(real["gap"]), 12))
+    return one.agg(F.lit(real["gap"]).alias("gap"), ((hits + 1) / (trials + 1)).alias("p"))

@@ -4,16 +4,17 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from ..operators import adjustment, metrics, models, probability, ratings
+from ..operators import adjustment, bracket, metrics, models, probability, ratings
 from ..operators import matches as M
 from ..operators.lineage import stored
 from ..operators.logs import auc
 from ..operators.ordering import ranked
 from ..sources import pairwise
 from ..sources.pairwise import table
-from .records import GAMEX, match_sides, matches, teams
+from .records import GAMEX, match_sides, matches, members, teams
 
-TRIALS, RESAMPLES, SLOTS = 200, 60, (1, 8, 4, 5, 2, 7, 3, 6)
+TRIALS, RESAMPLES, SLOTS = 20_000, 600, (1, 8, 4, 5, 2, 7, 3, 6)
+DEPTH = 12  # rounds that the SQL of the bracket spells out
 
 
 def _rpi(spark, d):
@@ -106,10 +107,8 @@ def match_auc(spark, d):
 
 
 def auc_bootstrap_md5(spark, d):
-    s = ranked(_scored(spark, d).withColumn("o", -F.col("gid")), "o", "gid", "i").select((F.col("i") - 1).alias("i"), "score", "y").persist()
-    n = s.count()
-    draws = s.select(F.explode(F.sequence(F.lit(1), F.lit(RESAMPLES))).alias("rep"), "i").select("rep", models.drawn(F.col("rep"), F.col("i"), F.lit(n)).alias("i"))
-    out = models.interval(models.auc_by(draws.join(s, "i"), "rep", "score", "y").withColumn("auc", F.round("auc", 6)), "auc")
+    s = stored(ranked(_scored(spark, d).withColumn("o", -F.col("gid")), "o", "gid", "i").select((F.col("i") - 1).alias("i"), "score", "y"))
+    out = models.interval(models.auc_by(models.resampled(s, "i", RESAMPLES), "rep", "score", "y", s).withColumn("auc", F.round("auc", 6)).where("auc IS NOT NULL"), "auc")
     return out.select("n", "low", "high")
 
 
@@ -193,6 +192,31 @@ def bracket_title_probs(spark, d):
     return probability.titles(slots, pairs, 3).select("team", F.round("p", 6).alias("p"))
 
 
+def _tree(spark, d):
+    """The championship games as a bracket, the members' margins as strengths, and half the home advantage in points a set."""
+    m = stored(matches(spark, d))
+    w, home = F.col("winner") == 0, F.col("gid") % 2 == 0
+    games = m.where("championship").select("gid", "date", "team_a", "team_b", F.when(w, F.col("team_a")).otherwise(F.col("team_b")).alias("winner"), F.when(home, F.col("team_a")).otherwise(F.col("team_b")).alias("home"))
+    sides = M.sides(m)
+    strength = sides.groupBy("team").agg((F.sum(F.col("pf") - F.col("pa")) / F.sum("sets")).alias("margin")).join(members(spark, d), "team", "left_semi")
+    half = sides.where("home").agg(F.avg((F.col("pf") - F.col("pa")) / F.col("sets")) / 2).first()[0]
+    return stored(bracket.nodes(games)), stored(strength), round(half or 0.0, 6)
+
+
+def bracket_tree(spark, d):
+    tree = _tree(spark, d)[0]
+    return tree.select("gid", F.col("round").cast("long").alias("round"), "feeder_a", "feeder_b")
+
+
+def bracket_propagation(spark, d):
+    return bracket.title(*_tree(spark, d)).select("team", F.round("p", 6).alias("p"))
+
+
+def bracket_champion(spark, d):
+    tree, strength, half = _tree(spark, d)
+    return bracket.champion(tree, stored(bracket.title(tree, strength, half))).withColumn("p", F.round("p", 6))
+
+
 def permutation_gap_md5(spark, d):
     delta = teams(spark, d).select("team", "official_rank").join(ranked(_rpi(spark, d), "rpi", "team"), "team")
     rows = delta.select("team", F.when(F.col("official_rank") != F.col("rank"), F.col("official_rank") > F.col("rank")).alias("up"), "wp")
@@ -200,7 +224,7 @@ def permutation_gap_md5(spark, d):
 
 
 QUERIES = [net_points_raw, box_rates, opponent_adjusted, team_metrics_raw, team_metrics, logistic_weights, composite_rating, adj_score, metric_accuracy, match_auc, auc_bootstrap_md5, incremental_auc, chrono_validation, calibration_buckets, brier, series_length,
-           set_match_probability, bracket_title_probs, permutation_gap_md5]
+           set_match_probability, bracket_title_probs, bracket_tree, bracket_propagation, bracket_champion, permutation_gap_md5]
 
 
 def _set_sql(p: str, t: int) -> str:
@@ -222,6 +246,19 @@ def oracle(rpi: str) -> dict[str, str]:
     rounds = ", t0 AS (SELECT slot, team, 1.0::DOUBLE AS p FROM sl)"
     for i in range(3):
         rounds += f", t{i + 1} AS (SELECT a.slot, a.team, a.p * sum(b.p * pm.p) AS p FROM t{i} a JOIN t{i} b ON xor(a.slot >> {i}, 1) = b.slot >> {i} JOIN pm ON pm.team = a.team AND pm.opp = b.team GROUP BY a.slot, a.team, a.p)"
+    tree = x + """, cg AS (SELECT gid, date, team_a, team_b, CASE WHEN points_a > points_b THEN team_a ELSE team_b END AS winner, CASE WHEN gid % 2 = 0 THEN team_a ELSE team_b END AS home FROM m WHERE championship),
+ap AS (SELECT gid, row_number() OVER (PARTITION BY team ORDER BY date, gid) - 1 AS n FROM (SELECT gid, date, unnest([team_a, team_b]) AS team FROM cg)), nr AS (SELECT cg.*, round FROM cg JOIN (SELECT gid, max(n) AS round FROM ap GROUP BY gid) USING (gid)),
+fd AS (SELECT a.gid, a.team_a, b.gid AS f, b.winner FROM nr a JOIN nr b ON b.winner IN (a.team_a, a.team_b) AND b.round < a.round QUALIFY row_number() OVER (PARTITION BY a.gid, b.winner ORDER BY b.round DESC, b.date, b.gid) = 1),
+nd AS MATERIALIZED (SELECT nr.*, fa.f AS feeder_a, fb.f AS feeder_b FROM nr LEFT JOIN fd fa ON fa.gid = nr.gid AND fa.winner = nr.team_a LEFT JOIN fd fb ON fb.gid = nr.gid AND fb.winner = nr.team_b)"""
+    pw = lambda gap: f"(SELECT p30 + p31 + p32 FROM (SELECT {parts} FROM (SELECT {_set_sql('p', 25)} AS s25, {_set_sql('p', 15)} AS s15 FROM (SELECT {ral.format(gap)} AS p))))"
+    spread = tree + f""", {margin}, st AS MATERIALIZED (SELECT team, margin FROM g JOIN supplier ON s_suppkey = team WHERE s_acctbal >= 0), hh AS (SELECT round(avg((pf - pa) / sets) / 2, 6) AS h FROM ms WHERE home),
+lf AS (SELECT gid, team_a, team_b, CASE WHEN gap IS NULL THEN .5 ELSE {pw('gap')} END AS pa FROM (SELECT nd.*, a.margin - b.margin + CASE WHEN home = team_a THEN 2 * h ELSE -2 * h END AS gap FROM nd LEFT JOIN st a ON a.team = team_a LEFT JOIN st b ON b.team = team_b, hh WHERE round = 0 OR feeder_a IS NULL OR feeder_b IS NULL)),
+d0 AS MATERIALIZED (SELECT gid, team_a AS team, pa AS p FROM lf UNION ALL SELECT gid, team_b, 1 - pa FROM lf)"""
+    for i in range(1, DEPTH):
+        spread += f""",
+e{i} AS (SELECT nd.gid, side, d.team, d.p, margin FROM nd, (VALUES ('a'), ('b')) v(side), d{i - 1} d LEFT JOIN st ON st.team = d.team WHERE round = {i} AND feeder_a IS NOT NULL AND feeder_b IS NOT NULL AND d.gid = CASE side WHEN 'a' THEN feeder_a ELSE feeder_b END),
+d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT gid, team, sum(pp * CASE WHEN gap IS NULL THEN .5 ELSE {pw('gap')} END) FROM (SELECT a.gid, a.team, a.p * b.p AS pp, a.margin - b.margin AS gap FROM e{i} a JOIN e{i} b ON b.gid = a.gid AND b.side <> a.side) GROUP BY ALL)"""
+    last = "(SELECT gid, winner FROM nd ORDER BY round DESC, date, gid LIMIT 1)"
     auc_of = "(SELECT {k} sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auc FROM (SELECT *, coalesce(sum(q) OVER ({part} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {k} score, sum(y) AS p, sum(1 - y) AS q FROM {t} GROUP BY ALL)) {by})"
     return {
         "net_points_raw": x + f", {margin} SELECT team, round(margin, 6) AS margin FROM g",
@@ -248,6 +285,10 @@ SELECT 3::BIGINT AS length, round(avg((n = 3)::INT), 6) AS observed, round(avg(p
         "set_match_probability": f"WITH k AS (SELECT k, k / 100 AS p FROM range(10, 95, 5) t(k)), s AS (SELECT k, {_set_sql('p', 25)} AS s25, {_set_sql('p', 15)} AS s15 FROM k), q AS (SELECT *, {parts} FROM s) SELECT k, round(s25, 8) AS set25, round(s15, 8) AS set15, round(p30, 8) AS p30, round(p31, 8) AS p31, round(p32, 8) AS p32 FROM q",
         "bracket_title_probs": both + f""", sl AS (SELECT {place} AS slot, team, margin FROM k JOIN g USING (team) WHERE rank <= 8), pp AS (SELECT a.team, b.team AS opp, {ral.format('a.margin - b.margin')} AS p FROM sl a JOIN sl b ON a.team <> b.team),
 ps AS (SELECT team, opp, {_set_sql('p', 25)} AS s25, {_set_sql('p', 15)} AS s15 FROM pp), pm AS (SELECT team, opp, p30 + p31 + p32 AS p FROM (SELECT team, opp, {parts} FROM ps)){rounds} SELECT team, round(p, 6) AS p FROM t3""",
+        "bracket_tree": tree + " SELECT gid, round, feeder_a, feeder_b FROM nd",
+        "bracket_propagation": spread + f" SELECT team, round(p, 6) AS p FROM d{DEPTH - 1} JOIN {last} USING (gid)",
+        "bracket_champion": spread + f""", tt AS (SELECT winner, team, round(p, 12) AS p FROM d{DEPTH - 1} JOIN {last} USING (gid)), me AS (SELECT p AS mine FROM tt WHERE team = winner)
+SELECT max(winner) AS champion, round(max(mine), 6) AS p, CASE WHEN max(mine) IS NOT NULL THEN count_if(p > mine OR (p = mine AND team < winner)) + 1 END AS rank, count(*) AS teams, abs(sum(p) - 1) < 1e-9 AS adds_up FROM tt LEFT JOIN me ON true""",
         "permutation_gap_md5": both + f""", off AS (SELECT s_suppkey AS team, row_number() OVER (ORDER BY round(s_acctbal, 10) DESC, s_suppkey) AS f FROM supplier), pool AS (SELECT team, (f > rank)::INT AS g, wp AS x FROM k JOIN off USING (team) WHERE f <> rank),
 real AS (SELECT avg(x) FILTER (g = 1) - avg(x) FILTER (g = 0) AS gap, sum(g) AS n1 FROM pool), pl AS (SELECT trial, gap, n1, x, row_number() OVER (PARTITION BY trial ORDER BY md5(trial || '|' || team), team) AS i FROM pool, real, range(1, {TRIALS + 1}) t(trial)),
 sh AS (SELECT trial, gap, avg(x) FILTER (i <= n1) - avg(x) FILTER (i > n1) AS g FROM pl GROUP BY ALL) SELECT round(max(gap), 6) AS gap, round((count_if(round(abs(g), 12) >= round(abs(gap), 12)) + 1) / ({TRIALS} + 1), 6) AS p FROM sh""",

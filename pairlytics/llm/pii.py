@@ -44,6 +44,9 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 SYLLABLES = {"latin": "ba de fi go lu ma ne ri so ta ve ko".split(), "cyrillic": "ба де фи го лу ма не ри со та ве ко".split(), "greek": "βα δε φι γο λυ μα νε ρι σο τα βε κο".split()}
 ENDINGS = {"latin": ("na", "n"), "cyrillic": ("на", "н"), "greek": ("να", "ς")}
+#: Country calling codes, by their length; the digits after them from which a surrogate keeps the country (shorter numbers have too few forms).
+COUNTRY = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+MIN_NATIONAL = 6
 TITLE = rf"^(?:{FEMALE}|{MALE})\.? "
 
 
@@ -133,7 +136,9 @@ def surrogate(e: Column, kind: Column, seed: Column) -> Column:
     head = _scrambled(F.regexp_extract(plain, r"^(.*)[0-9]$", 1), seed)  # the last digit makes the number valid
     digit = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string"))
     card = _formatted(e, _bound(head, lambda h: F.concat(h, F.get(F.filter(digit, lambda d: F.call_function("luhn_check", F.concat(h, d))), 0))))
-    phone = _formatted(e, _scrambled(plain, seed))
+    country = F.regexp_extract(plain, COUNTRY, 1)
+    national = F.substr(plain, F.length(country) + 1)
+    phone = _formatted(e, F.when(F.length(national) >= MIN_NATIONAL, F.concat(country, _scrambled(national, seed))).otherwise(_scrambled(plain, seed)))
     female = e.rlike(rf"^(?:{FEMALE})\.? ")
     bare = F.regexp_replace(e, TITLE, "")
     script = F.when(bare.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
@@ -208,19 +213,26 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     maps = maps.select(F.col("tk").alias("_m_tk"), F.col("tk2").alias("_m_tk2"), F.col("m").alias(m))
     same = (F.xxhash64(docs["text"]) == maps["_m_tk"]) & (F.sha2(docs["text"], 256) == maps["_m_tk2"])
     size = maps.agg(F.sum(F.length(F.to_json(m)))).first()[0] or 0
+    shown, counted = output_names(docs)
     out = docs.join(F.broadcast(maps) if size <= 16 << 20 else maps, same, "left")
     parts, es = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     put = lambda e: F.coalesce(F.element_at(F.col(m), e)["s"], e)
     whole = F.array_join(F.zip_with(parts, es, lambda p, e: F.concat(p, F.when(e.isNull(), "").otherwise(put(e)))), "")
     n = F.aggregate(es, F.lit(0).cast("long"), lambda a, e: a + F.coalesce(F.element_at(F.col(m), e)["n"], F.lit(0).cast("long")))
     touched = F.col(m).isNotNull()
-    return out.select(*[docs[c] for c in docs.columns], F.when(touched, whole).otherwise(text).alias("pii_text"), F.when(touched, n).otherwise(0).cast("long").alias("pii_count"))
+    return out.select(*[docs[c] for c in docs.columns], F.when(touched, whole).otherwise(text).alias(shown), F.when(touched, n).otherwise(0).cast("long").alias(counted))
+
+
+def output_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that `replaced` adds: pii_text and pii_count, with underscores before them where docs has such columns."""
+    return unique_name(docs, "pii_text"), unique_name(docs, "pii_count")
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents (same columns) with surrogates in their texts; n_chars, where there is one, is that of the new text."""
     out = replaced(docs.select("*"), key)
-    new = {"text": F.col("pii_text"), "n_chars": F.when(F.col("pii_count") > 0, F.length("pii_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    shown, counted = output_names(docs)
+    new = {"text": F.col(shown), "n_chars": F.when(F.col(counted) > 0, F.length(shown)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import small, stored, table, unique_name
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SHARD_ROWS = 512
@@ -224,21 +224,24 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     prints = stored(fingerprints(keyed))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     firsts = stored(_roots(nodes).groupBy("root").agg(F.min("rep").alias("k")).select("k.*"))
-    firsts = firsts.select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"), F.col("none").alias("k_none"))
-    mine = docs["doc_id"].eqNullSafe(F.col("k_id")) & (sha == F.col("k_sha")) & (F.col("text").isNull() == F.col("k_none"))
+    k_id, k_sha, k_none, whole = (unique_name(docs, c) for c in ("k_id", "k_sha", "k_none", "least_of_row"))
+    firsts = firsts.select(F.col("doc_id").alias(k_id), F.col("sha").alias(k_sha), F.col("none").alias(k_none))
+    mine = docs["doc_id"].eqNullSafe(F.col(k_id)) & (sha == F.col(k_sha)) & (F.col("text").isNull() == F.col(k_none))
     kept = docs.join(small(firsts), mine, "left_semi")
     names = [F.col(f"`{c}`") for c in docs.columns]
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     twice = kept.groupBy("doc_id", sha.alias("sha"), F.col("text").isNull().alias("none")).count().where("count > 1")
-    if (twice := stored(twice.select(F.col("doc_id").alias("t_id"), F.col("sha").alias("t_sha"), F.col("none").alias("t_none")))).isEmpty():
+    if (twice := stored(twice.select(F.col("doc_id").alias(k_id), F.col("sha").alias(k_sha), F.col("none").alias(k_none)))).isEmpty():
         return kept
-    again = kept["doc_id"].eqNullSafe(F.col("t_id")) & (sha == F.col("t_sha")) & (F.col("text").isNull() == F.col("t_none"))
+    again = kept["doc_id"].eqNullSafe(F.col(k_id)) & (sha == F.col(k_sha)) & (F.col("text").isNull() == F.col(k_none))
     rest = kept.join(small(twice), again, "left_anti").select(*names)
     copies = kept.join(small(twice), again, "left_semi").groupBy("doc_id", "text")
     if not others:
         return rest.unionByName(copies.agg(F.lit(1)).select(*names))
-    least = copies.agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("least_of_row"))
-    return rest.unionByName(least.select("doc_id", "text", "least_of_row.*").select(*names))
+    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    ordered = all("map<" not in t and "variant" not in t for _, t in docs.dtypes)  # maps have no order: their JSON text has
+    least = copies.agg((F.min(row) if ordered else F.min_by(row, F.to_json(row))).alias(whole))
+    return rest.unionByName(least.select("doc_id", "text", f"{whole}.*").select(*names))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, drop_stored, list_dir, settings_of_jobs, shared_dir, small, split_join, stored, table
@@ -172,6 +172,14 @@ def _copies(texts: DataFrame) -> DataFrame:
     return out
 
 
+def _id(docs: DataFrame) -> Column:
+    """doc_id as a long; other types than integers are refused, as documents are ordered and dealt by its value."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be of an integer type, not {kind}")
+    return F.col("doc_id").cast("long").alias("doc_id")
+
+
 def deduplicate(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every document; kept: the words that stay, joined by one space.
 
@@ -179,7 +187,8 @@ def deduplicate(docs: DataFrame, batches: int = 2, index: FingerprintIndex | Non
     their documents as `history`: windows are verified on the texts themselves.
     """
     spark = docs.sparkSession
-    as_text = lambda df: df.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("k", F.unhex(F.md5("text")))
+    docs = docs.select(_id(docs), "text")
+    as_text = lambda df: df.select(_id(df), F.col("text").cast("binary").alias("text")).withColumn("k", F.unhex(F.md5("text")))
     texts = as_text(docs)
     known = texts if history is None else texts.unionByName(as_text(history))
     copies = _copies(known)

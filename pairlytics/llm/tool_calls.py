@@ -12,7 +12,7 @@ tools, unknown, missing and wrongly typed arguments.
 One row per turn and per linked result, ordered by (conv_id, call_turn, kind, level, call_index, turn); no group is ever gathered, so
 one conversation may hold any share of the rows. JSON is canonical: keys sorted, no white space.
 
-Cases: null text is an empty message; null conv_id, turn or role are kept; text that isn't valid JSON is plain;
+Cases: null text is an empty message; turns without conv_id count as one conversation; null turn or role are kept; other columns aren't looked at; texts of any length are parsed whole; text that isn't valid JSON is plain;
 `tool_calls` that isn't an array of objects gives no calls, but the whole text and the error `malformed tool_calls`; repeated rows each get a row, and repeated identifiers status `ambiguous`; an empty table gives no rows.
 """
 
@@ -115,6 +115,14 @@ def leveled(calls: DataFrame) -> DataFrame:
 
 def link(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, call_turn, kind (0 message, 1 call, 2 result), level, call_index, turn, role, call_id, status, errors, json."""
+    # a key that is never null, so that turns without conversation are linked among themselves
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit(""))
+    out = _linked(turns.select(key.alias("conv_id"), "turn", "role", "text"), schemas)
+    given = F.when(F.col("conv_id") != "", F.substr("conv_id", F.lit(2))).cast(turns.schema["conv_id"].dataType)
+    return out.withColumn("conv_id", given)
+
+
+def _linked(turns: DataFrame, schemas: dict) -> DataFrame:
     messages = parsed(turns)
     calls = stored(validated(leveled(calls_of(messages)), schemas))
     said = messages.select("*", F.get_json_object("json", "$.tool_call_id").alias("call_id"), F.get_json_object("json", "$.content").alias("content"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlytics.llm import decontaminate, language_id, pii, sentencepiece_codec, simhash
-from pairlytics.llm.common import shared_dir
+from pairlytics.llm.common import drop_path, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; each result is written to the shared folder and read again."""
+    """All stages over the whole documents table; each result is written to the shared folder and read again, and the one before it deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        before = path
     return docs

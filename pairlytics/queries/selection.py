@@ -21,6 +21,22 @@ def conference_aq(spark, d):
     return field.qualifiers(conference_records(spark, d), ranked(_rpi(spark, d), "rpi", "team"))
 
 
+def _barred(spark, d):
+    return table(spark, d, "supplier").where("s_acctbal < 0 OR s_suppkey % 7 = 3").select(F.col("s_suppkey").alias("team"))
+
+
+def conference_champions(spark, d):
+    """Qualifiers by each conference's mechanism; every third nation has a season champion."""
+    games = stored(pairwise.games(spark, d))
+    ranks = ranked(ratings.rpi(pairwise.edges_of(games)), "rpi", "team")
+    kinds = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("conference"), F.lit(field.SEASON).alias("mechanism"))
+    return field.automatic(M.sides(M.decided(games)), conferences(spark, d), ranks, kinds, _barred(spark, d))
+
+
+def championship_eligibility(spark, d):
+    return field.eligibility(M.totals(match_sides(spark, d), members(spark, d)), _barred(spark, d))
+
+
 def _field(spark, d):
     games = stored(pairwise.games(spark, d))
     edges, sides = pairwise.edges_of(games), M.sides(M.decided(games))
@@ -129,7 +145,7 @@ def parse_record(spark, d):
 
 
 def numeric_casts(spark, d):
-    x = F.when(F.col("p_partkey") % 3 == 0, F.format_number(F.col("p_partkey") * 1000, 0)).when(F.col("p_partkey") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit(".7"))).otherwise("-")
+    x = F.when(F.col("p_partkey") % 3 == 0, F.format_number(F.col("p_partkey") * 1000, 0)).when(F.col("p_partkey") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit(".7"))).when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).otherwise("-")
     return table(spark, d, "part").select("p_partkey", names.number_or_null(x).cast("long").alias("or_null"), names.number_or_zero(x).cast("long").alias("or_zero"))
 
 
@@ -155,7 +171,7 @@ def log_last_wins(spark, d):
 
 def resume_todo_ids(spark, d):
     e = table(spark, d, "events")
-    return logs.todo(e, logs.final_ids(e, "user_id", F.col("event_type") == "purchase"), "user_id")
+    return logs.todo(e, logs.final_ids(e, "user_id", (F.col("event_type") == "purchase") & (F.col("event_id") % 11 == 0)), "user_id")
 
 
 def first_seen_users(spark, d):
@@ -186,7 +202,7 @@ def digest_equality(spark, d):
 
 
 def freshness_sanity(spark, d):
-    return gates.fresh(table(spark, d, "orders").select(F.col("o_orderdate").cast("string").alias("t")), "t", F.to_timestamp(F.lit("1998-01-01 00:00:00")))
+    return gates.fresh(table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate").cast("string")).otherwise("soon").alias("t")), "t", F.to_timestamp(F.lit("1998-01-01 00:00:00")))
 
 
 def matcher_validation(spark, d):
@@ -208,7 +224,7 @@ def events_windowed(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("string").alias("start"), "event_type", "n")
 
 
-QUERIES = [conference_aq, seed_field, at_large_gates, field_backtest, roster_join_pass1, roster_join, roster_links, unresolved_concentration, linkage_audit, returning_share, top_departures, fuzzy_audit, name_norm, name_keys, name_shapes, parse_record, numeric_casts, text_mechanism,
+QUERIES = [conference_aq, conference_champions, championship_eligibility, seed_field, at_large_gates, field_backtest, roster_join_pass1, roster_join, roster_links, unresolved_concentration, linkage_audit, returning_share, top_departures, fuzzy_audit, name_norm, name_keys, name_shapes, parse_record, numeric_casts, text_mechanism,
            html_anchors, content_names, log_last_wins, resume_todo_ids, first_seen_users, freshness_settled_dates, range_rules, order_inversions, rank_permutation, digest_equality, freshness_sanity, matcher_validation,
            player_season_totals, events_windowed]
 
@@ -240,6 +256,15 @@ pe AS (SELECT *, concat_ws('|', first, last) AS k1, {narrow} AS k2, {whole} AS k
     scan = "row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)"
     return {
         "conference_aq": both + cr + f" SELECT conference, team FROM {aq.format('')}",
+        "conference_champions": both + """, cf AS (SELECT s_suppkey AS team, n_name AS conference, CASE WHEN n_nationkey % 3 = 0 THEN 'REGULAR_SEASON' ELSE 'TOURNAMENT' END AS mechanism, s_acctbal < 0 OR s_suppkey % 7 = 3 AS barred FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+ci AS (SELECT a.conference, ms.team, gid, won, date FROM ms JOIN cf a USING (team) JOIN cf b ON b.team = ms.opp AND b.conference = a.conference), ld AS (SELECT * FROM ci QUALIFY date = max(date) OVER (PARTITION BY conference)),
+cn AS (SELECT conference, count(DISTINCT gid) AS games FROM ld GROUP BY 1), cp AS (SELECT team, round(avg(won), 10) AS pct FROM ci GROUP BY 1),
+cm AS (SELECT cf.*, coalesce(rank, 999) AS place, coalesce(pct, 0) AS pct, games, mechanism = 'REGULAR_SEASON' OR cf.team IN (SELECT team FROM ld WHERE won = 1) AS cand FROM cf LEFT JOIN k USING (team) LEFT JOIN cp USING (team) LEFT JOIN cn USING (conference)),
+c1 AS (SELECT conference, team AS t1, barred AS b1 FROM cm WHERE cand AND games IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conference ORDER BY pct DESC, place, team) = 1),
+c2 AS (SELECT conference, team AS t2 FROM cm WHERE NOT barred QUALIFY row_number() OVER (PARTITION BY conference ORDER BY place, team) = 1),
+cx AS (SELECT DISTINCT conference, mechanism, games FROM cm), ch AS (SELECT *, CASE WHEN mechanism = 'REGULAR_SEASON' THEN 'best share' WHEN games = 1 THEN 'sole game of the last day' ELSE 'best of ' || games || ' games of the last day' END AS how FROM cx LEFT JOIN c1 USING (conference) LEFT JOIN c2 USING (conference))
+SELECT conference, CASE WHEN t1 IS NULL THEN NULL WHEN b1 THEN t2 ELSE t1 END AS team, mechanism, CASE WHEN t1 IS NULL THEN 'no conference games' WHEN NOT b1 THEN how WHEN t2 IS NULL THEN 'champion ineligible, no eligible member' ELSE how || ', champion ineligible: bid passes' END AS note FROM ch""",
+        "championship_eligibility": both + cr + f", {gate}, el AS (SELECT team, reason, s_acctbal < 0 OR s_suppkey % 7 = 3 AS barred FROM gt JOIN supplier ON s_suppkey = team) SELECT team, NOT barred AS championship, NOT barred AND reason = '' AS at_large, CASE WHEN barred THEN 'ineligible' WHEN reason <> '' THEN reason || ', at-large only' ELSE '' END AS reason FROM el",
         "seed_field": both + fld + " SELECT team, bid, seed FROM fl",
         "at_large_gates": both + cr + f", {gate} SELECT team, reason = '' AS at_large, reason FROM gt",
         "field_backtest": both + fld + ", ac AS (SELECT team FROM ms WHERE championship GROUP BY 1 HAVING sum(won) >= 3) SELECT CASE WHEN f.team IS NULL THEN 'missed' WHEN a.team IS NULL THEN 'wrong' ELSE 'hit' END AS outcome, count(*) AS n FROM fl f FULL JOIN ac a ON a.team = f.team GROUP BY 1",
@@ -251,19 +276,19 @@ pe AS (SELECT *, concat_ws('|', first, last) AS k1, {narrow} AS k2, {whole} AS k
 SELECT id, {narrow} AS narrow, {whole} AS whole, len(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(n)), '{suffix}', ''), '[^a-z]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM s""",
         "name_shapes": r"""SELECT count(*) AS n, count_if(contains(p_name, '-'))::BIGINT AS hyphen, count_if(regexp_matches(p_name, '(?i)\b(jr|sr|ii|iii|iv)\.?$'))::BIGINT AS suffix, count_if(regexp_matches(p_name, '\S+\s+\S+\s+\S+'))::BIGINT AS three_parts, count_if(contains(p_name, ''''))::BIGINT AS apostrophe, count_if(regexp_matches(p_name, '[^\x00-\x7F]'))::BIGINT AS diacritic FROM part""",
         "parse_record": "SELECT s_suppkey, s_suppkey::BIGINT AS wins, s_suppkey % 7 AS losses FROM supplier",
-        "numeric_casts": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey * 1000 WHEN 1 THEN p_size::BIGINT END AS or_null, 0::BIGINT AS or_zero FROM part",
+        "numeric_casts": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey * 1000 WHEN 1 THEN p_size::BIGINT WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN p_size::BIGINT END END AS or_null, CASE WHEN p_partkey % 6 = 2 THEN p_size::BIGINT ELSE 0 END AS or_zero FROM part",
         "text_mechanism": r"""SELECT CASE WHEN t AND s THEN 'AMBIGUOUS' WHEN t THEN 'TOURNAMENT' WHEN s THEN 'REGULAR_SEASON' END AS kind, count(*) AS n FROM (SELECT regexp_matches(text, '(?i)\b(the|of)\b') AS t, regexp_matches(text, '(?i)\b(and|is)\b') AS s FROM documents) GROUP BY 1""",
         "html_anchors": """SELECT page_id, len(l)::BIGINT AS anchors, coalesce(l[1], '') AS first_link, title FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)""",
         "content_names": "SELECT page_id, substr(sha1(html), 1, 12) AS name, md5(html) AS md5, length(replace(html, '</', '<\\/'))::BIGINT AS safe_chars FROM pages",
         "log_last_wins": f"SELECT user_id, event_id, event_type FROM (SELECT *, {scan} AS i FROM events WHERE user_id IS NOT NULL) WHERE i = 1",
-        "resume_todo_ids": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)",
+        "resume_todo_ids": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 11 = 0 AND user_id IS NOT NULL)",
         "first_seen_users": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1",
         "freshness_settled_dates": "SELECT o_orderdate::DATE::VARCHAR AS date, count(*) AS n, o_orderdate::DATE < DATE '1997-06-01' AND bool_and(o_orderstatus = 'F') AS authoritative FROM orders WHERE o_orderdate::DATE <= DATE '1997-06-01' GROUP BY o_orderdate::DATE",
         "range_rules": "SELECT id, field, value FROM (SELECT l_orderkey AS id, unnest([{'field': 'l_quantity', 'value': l_quantity, 'a': 2.0, 'b': 49.0}, {'field': 'l_discount', 'value': l_discount, 'a': 0.0, 'b': 0.09}, {'field': 'l_tax', 'value': l_tax, 'a': 0.0, 'b': 0.08}], recursive := true) FROM lineitem) WHERE value < a OR value > b",
         "order_inversions": "SELECT o_orderkey, before FROM (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE o_totalprice < before",
         "rank_permutation": "SELECT count(*) AS n, true AS ok FROM supplier",
         "digest_equality": "SELECT count(*) AS n, sum(('0x' || substr(md5(n_nationkey || '|' || n_name), 1, 12))::BIGINT)::VARCHAR AS digest FROM nation",
-        "freshness_sanity": "SELECT count(*) AS n, 0::BIGINT AS unparseable, count_if(o_orderdate > TIMESTAMP '1998-01-01')::BIGINT AS future FROM orders",
+        "freshness_sanity": "SELECT count(*) AS n, count_if(o_orderkey % 97 = 0)::BIGINT AS unparseable, count_if(o_orderkey % 97 <> 0 AND o_orderdate > TIMESTAMP '1998-01-01')::BIGINT AS future FROM orders",
         "matcher_validation": both + ", v AS (SELECT (a.rpi > b.rpi) = (points_a > points_b) AS ok FROM m JOIN r a ON a.team = team_a JOIN r b ON b.team = team_b WHERE championship AND a.rpi <> b.rpi) SELECT count(*) AS decided, count_if(ok)::BIGINT AS correct, count(*) >= 3 AND count_if(ok) = count(*) AS usable FROM v",
         "player_season_totals": """WITH p AS (SELECT p_brand AS team, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS player, p_name, count(*) AS n, sum(p_size) AS kills, sum(p_partkey % 5) AS aces, sum(p_partkey % 3) AS solos, sum(p_partkey % 4) AS assists FROM part GROUP BY ALL),
 q AS (SELECT team, player, arg_min(p_name, (-n, p_name)) AS name, sum(n)::BIGINT AS games, sum(kills)::BIGINT AS kills, sum(aces)::BIGINT AS aces, sum(solos)::BIGINT AS solos, sum(assists)::BIGINT AS assists FROM p GROUP BY ALL)

@@ -123,10 +123,19 @@ def _range_of(scores: DataFrame | None, score: str) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(score)))
 
 
+def _times(rows: DataFrame, name: str, count: int, n: int) -> DataFrame:
+    """rows (n of them) with 1..count in column `name`. A small table may be one partition: it is dealt out by parts of the numbers before it grows."""
+    if n > RANGE_SCORES:
+        return rows.withColumn(name, F.explode(F.sequence(F.lit(1), F.lit(count))))
+    parts = min(count, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), F.lit(parts)))).repartition(parts, "_part")
+    return dealt.withColumn(name, F.explode(F.sequence(F.col("_part"), F.lit(count), F.lit(parts)))).drop("_part")
+
+
 def resampled(rows: DataFrame, place: str, resamples: int) -> DataFrame:
     """(rep and rows' columns): each replicate from 1 on draws as many rows as there are, by md5 of its number and the place; `place` numbers rows from 0."""
     n = rows.count()
-    draws = rows.select(F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"), F.col(place).alias("_i"))
+    draws = _times(rows.select(F.col(place).alias("_i")), "rep", resamples, n)
     return draws.select("rep", drawn(F.col("rep"), F.col("_i"), F.lit(n)).alias(place)).join(rows, place)
 
 
@@ -149,7 +158,7 @@ def permutation_gap(rows: DataFrame, key: str, group: str, value: str, trials: i
     if real["gap"] is None:
         return pool.sparkSession.createDataFrame([(None, None)], "gap double, p double")
     digits = max(2, math.ceil(math.log(max(1, real["n"] / SORTED_ROWS), 16)))
-    each = pool.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("h", F.md5(F.concat_ws("|", "trial", "_key").cast("binary")))
+    each = _times(pool, "trial", trials, real["n"]).withColumn("h", F.md5(F.concat_ws("|", "trial", "_key").cast("binary")))
     each = each.select("trial", "h", "_key", "x", F.substring("h", 1, digits).alias("d"))
     upto = F.sum("c").over(Window.partitionBy("trial").orderBy("d"))
     cells = each.groupBy("trial", "d").agg(F.count("*").alias("c"), F.sum("x").alias("s")).withColumn("upto", upto).where(F.col("upto") - F.col("c") < real["n1"])

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from .operators import leaderboards, logs, ratings
 from .sources import pairwise
 from .queries import evaluation as _evaluation
+from .queries import feeds as _feeds
 from .queries import records as _records
 from .queries import selection as _selection
 from .sources.pairwise import EDGE, SIDE, table
 
-AREAS = [_records, _evaluation, _selection]
+AREAS = [_records, _evaluation, _selection, _feeds]
 
 
 def _long(df, *names):

@@ -26,12 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark)}/pairlytics-table-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once, written as Parquet and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairlytics-table-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

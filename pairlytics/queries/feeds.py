@@ -108,7 +108,7 @@ def schedule_first_days(spark, d):
     texts = listed.groupBy("day", F.floor(F.col("gid") / 10000).alias("chunk")).agg(F.to_json(F.struct(F.collect_list(game).alias("games"))).alias("value"))  # at most 10,000 a text
     path = lineage.folder(spark)
     texts.select("day", "value").write.partitionBy("day").text(path)
-    return payloads.schedule_ids(spark, path, F.lit(TODAY).cast("date")).select("game_id", F.col("day").cast("string").alias("day"))
+    return payloads.schedule_ids(spark, path, F.lit(TODAY).cast("date"), whole=False).select("game_id", F.col("day").cast("string").alias("day"))
 
 
 EVENT = "event_id long, user_id long, event_type string, final boolean"

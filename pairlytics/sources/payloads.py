@@ -21,13 +21,14 @@ DAY = "games array<struct<game struct<gameID string, id string>, gameID string,
 TIER = "OFFICIAL"
 
 
-def schedule_ids(spark: SparkSession, path: str, today: Column | None = None) -> DataFrame:
+def schedule_ids(spark: SparkSession, path: str, today: Column | None = None, whole: bool = True) -> DataFrame:
     """(game_id, day): each game of a schedule with the first day that lists it; path has a folder day=YYYY-MM-DD of JSON texts a day.
 
     today: days after it are left out, by folder, before any file is opened; None takes all. A game is an object `game` or stands bare, its
-    id is gameID, else id; those without and texts that aren't JSON are skipped.
+    id is gameID, else id; those without and texts that aren't JSON are skipped. A text is a whole file, or a line where whole is false: such files
+may hold any number of them, and large ones are split.
     """
-    texts = spark.read.schema("value string, day date").text(path, wholetext=True)
+    texts = spark.read.schema("value string, day date").text(path, wholetext=whole)
     if today is not None:
         texts = texts.where(F.col("day") <= today)
     games = texts.where("day IS NOT NULL").select("day", F.explode(F.from_json("value", DAY)["games"]).alias("g"))

@@ -40,6 +40,8 @@ def test_schedule(spark, tmp_path):
     got = lambda today: {r["game_id"]: r["day"].day for r in payloads.schedule_ids(spark, str(tmp_path), today).collect()}
     assert got(F.lit(date(2020, 1, 2))) == {"1": 1, "2": 2, "3": 2, "4": 2}
     assert got(None) == {"1": 1, "2": 2, "3": 2, "4": 2, "5": 3}
+    (tmp_path / "day=2020-01-01/d.json").write_text('{"games": [{"id": "5"}]}\n\n{"games"\n{"games": [{"id": "6"}]}\n')
+    assert {r["game_id"]: r["day"].day for r in payloads.schedule_ids(spark, str(tmp_path), None, whole=False).collect()} == {"1": 1, "2": 2, "3": 2, "4": 2, "5": 1, "6": 1}
     plan = payloads.schedule_ids(spark, str(tmp_path), F.lit(date(2020, 1, 2)))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "(day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 

@@ -4,7 +4,7 @@ from math import comb
 
 from pyspark.sql import functions as F
 
-from ..operators import adjustment, bracket, metrics, models, probability, ratings
+from ..operators import adjustment, bracket, metrics, models, probability, ratings, splits
 from ..operators import matches as M
 from ..operators.lineage import stored
 from ..operators.logs import auc
@@ -64,6 +64,16 @@ def team_metrics(spark, d):
     return _measures(spark, d, True).select("team", *[F.round(c, 6).alias(c) for c in (*metrics.RAW, *metrics.ADJUSTED)])
 
 
+CUTOFFS, MIN_FIT, MIN_TEST = ("1998-05-01", "1999-06-01", "2000-05-01"), 50, 20
+
+
+def split_runner(spark, d):
+    """Each raw measure, fitted before and tested after three dates and on the championship, with its rank against that at the second date."""
+    m = stored(matches(spark, d))
+    out = splits.stability(splits.standalone(m, _boxes(spark, d), list(CUTOFFS), MIN_FIT, MIN_TEST), CUTOFFS[1])
+    return out.select("split", "metric", "n_fit", "n", F.round("accuracy", 6).alias("accuracy"), F.round("auc", 6).alias("auc"), "rank", "shift")
+
+
 def _weights(spark, d):
     m = ratings_table(spark, d)
     z = models.standardised(models.differences(matches(spark, d), m, ["rpi", "margin"]), ["d_rpi", "d_margin"])
@@ -223,7 +233,7 @@ def permutation_gap_md5(spark, d):
     return models.permutation_gap(rows, "team", "up", "wp", TRIALS).select(F.round("gap", 6).alias("gap"), F.round("p", 6).alias("p"))
 
 
-QUERIES = [net_points_raw, box_rates, opponent_adjusted, team_metrics_raw, team_metrics, logistic_weights, composite_rating, adj_score, metric_accuracy, match_auc, auc_bootstrap_md5, incremental_auc, chrono_validation, calibration_buckets, brier, series_length,
+QUERIES = [net_points_raw, box_rates, opponent_adjusted, team_metrics_raw, split_runner, team_metrics, logistic_weights, composite_rating, adj_score, metric_accuracy, match_auc, auc_bootstrap_md5, incremental_auc, chrono_validation, calibration_buckets, brier, series_length,
            set_match_probability, bracket_title_probs, bracket_tree, bracket_propagation, bracket_champion, permutation_gap_md5]
 
 
@@ -269,6 +279,27 @@ sum(l_quantity) AS attempts, sum(round(l_discount * 100)) AS re FROM lineitem GR
 sb AS (SELECT ms.*, b.kills, b.errors, b.attempts, b.re, o.kills AS okills, o.errors AS oerrors, o.attempts AS oattempts FROM ms LEFT JOIN (bx b JOIN bx o ON o.gid = b.gid AND o.team <> b.team) ON b.gid = ms.gid AND b.team = ms.team AND o.team = ms.opp),
 x AS (SELECT team, avg(won) AS win_pct, (sum(kills) - sum(errors)) / nullif(sum(attempts), 0) AS own, (sum(okills) - sum(oerrors)) / nullif(sum(oattempts), 0) AS opp, sum(pf - pa) / sum(sets) AS net, 1 - sum(re) / nullif(sum(attempts), 0) AS so FROM sb GROUP BY team)
 SELECT team, round(rpi, 6) AS rpi, round(win_pct, 6) AS win_pct, round(own, 6) AS own_hit_eff, round(-opp, 6) AS opp_hit_eff, round(own - opp, 6) AS hit_eff_diff, round(net, 6) AS net_points_set, round(so, 6) AS sideout_proxy FROM x JOIN r USING (team)""",
+        "split_runner": x + f""", bx AS (SELECT l_orderkey AS gid, l_suppkey AS team, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS kills, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS errors,
+sum(l_quantity) AS attempts, sum(round(l_discount * 100)) AS re FROM lineitem GROUP BY ALL HAVING count_if(l_returnflag <> 'A') > 0),
+pt AS (SELECT *, CASE WHEN split = 'tournament' THEN championship WHEN date IS NOT NULL THEN date >= try_cast(split AS DATE) END AS test FROM (SELECT m.*, unnest({['tournament', *CUTOFFS]}) AS split FROM m)),
+fs AS (SELECT split, ms.*, b.kills, b.errors, b.attempts, b.re, o.kills AS okills, o.errors AS oerrors, o.attempts AS oattempts FROM pt JOIN ms USING (gid)
+LEFT JOIN (bx b JOIN bx o ON o.gid = b.gid AND o.team <> b.team) ON b.gid = ms.gid AND b.team = ms.team AND o.team = ms.opp WHERE NOT test),
+h AS (SELECT split, team, opp, sum(won) AS w, count(*) - sum(won) AS l FROM fs GROUP BY ALL), t AS (SELECT split, team, sum(w) AS w, sum(l) AS l FROM h GROUP BY ALL),
+ex AS (SELECT h.split, h.team, h.opp, h.w + h.l AS n, coalesce((t.w - h.l) / nullif(t.w + t.l - h.w - h.l, 0), 0) AS p FROM h JOIN t ON t.split = h.split AND t.team = h.opp),
+ow AS (SELECT split, team, sum(p * n) / sum(n) AS owp FROM ex GROUP BY ALL),
+oo AS (SELECT ex.split, ex.team, sum(owp * n) / sum(n) AS oowp FROM ex JOIN ow ON ow.split = ex.split AND ow.team = ex.opp GROUP BY ALL),
+me AS (SELECT split, team, avg(won) AS win_pct, (sum(kills) - sum(errors)) / nullif(sum(attempts), 0) AS own_hit_eff, -((sum(okills) - sum(oerrors)) / nullif(sum(oattempts), 0)) AS opp_hit_eff,
+sum(pf - pa) / sum(sets) AS net_points_set, 1 - sum(re) / nullif(sum(attempts), 0) AS sideout_proxy FROM fs GROUP BY ALL),
+wide AS (SELECT me.*, own_hit_eff + opp_hit_eff AS hit_eff_diff, .25 * t.w / (t.w + t.l) + .5 * owp + .25 * oowp AS rpi FROM me JOIN t USING (split, team) JOIN ow USING (split, team) JOIN oo USING (split, team)),
+v AS (UNPIVOT wide ON {', '.join(metrics.RAW)} INTO NAME metric VALUE v),
+sc AS (SELECT pt.split, a.metric, (points_a > points_b)::INT AS y, round(a.v - b.v, 10) AS score FROM pt JOIN v a ON a.split = pt.split AND a.team = team_a JOIN v b ON b.split = pt.split AND b.team = team_b AND b.metric = a.metric WHERE test),
+c AS (SELECT split, metric, score, sum(y) AS p, sum(1 - y) AS q FROM sc GROUP BY ALL),
+lo AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY split, metric ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+au AS (SELECT split, metric, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auc FROM lo GROUP BY ALL),
+f AS (SELECT split, metric, n_fit, n, CASE WHEN n_fit >= {MIN_FIT} AND n >= {MIN_TEST} THEN accuracy END AS accuracy, CASE WHEN n_fit >= {MIN_FIT} AND n >= {MIN_TEST} THEN auc END AS auc
+FROM (SELECT split, metric, count(*) AS n, avg(((score > 0) = (y = 1))::INT) AS accuracy FROM sc GROUP BY ALL) JOIN au USING (split, metric) JOIN (SELECT split, count_if(NOT test)::BIGINT AS n_fit FROM pt GROUP BY ALL) USING (split)),
+k AS (SELECT *, CASE WHEN auc IS NOT NULL THEN row_number() OVER (PARTITION BY split ORDER BY round(auc, 8) DESC NULLS LAST, metric) END AS rank FROM f)
+SELECT split, metric, n_fit, n, round(accuracy, 6) AS accuracy, round(auc, 6) AS auc, rank, rank - max(rank) FILTER (split = '{CUTOFFS[1]}') OVER (PARTITION BY metric) AS shift FROM k""",
         "adj_score": both + """, s AS (SELECT team, margin, row_number() OVER (ORDER BY round(owp, 10) DESC, team) AS sos FROM r JOIN g USING (team))
 SELECT team, sos, round((margin - avg(margin) OVER ()) / stddev_pop(margin) OVER () - 2 * (sos - avg(sos) OVER ()) / stddev_pop(sos) OVER (), 5) AS adj FROM s""",
         "metric_accuracy": both + sc + " SELECT championship, count(*) AS games, round(avg(((score > 0) = (y = 1))::INT), 6) AS accuracy FROM sc GROUP BY 1",

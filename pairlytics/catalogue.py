@@ -10,9 +10,10 @@ from .queries import evaluation as _evaluation
 from .queries import feeds as _feeds
 from .queries import records as _records
 from .queries import selection as _selection
+from .queries import sources as _sources
 from .sources.pairwise import EDGE, SIDE, table
 
-AREAS = [_records, _evaluation, _selection, _feeds]
+AREAS = [_records, _evaluation, _selection, _feeds, _sources]
 
 
 def _long(df, *names):

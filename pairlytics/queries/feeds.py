@@ -17,7 +17,7 @@ def _lines(spark, d):
 def _base(spark, d):
     g = games(spark, d)
     at_home = F.col("gid") % 2 == 0
-    return g.withColumns({"home": F.when(at_home, F.col("team_a")).otherwise(F.col("team_b")), "visit": F.when(at_home, F.col("team_b")).otherwise(F.col("team_a"))})
+    return lineage.stored(g.withColumn("home", F.when(at_home, F.col("team_a")).otherwise(F.col("team_b"))))  # read by each join of a feed
 
 
 def _faulty(body):
@@ -27,9 +27,9 @@ def _faulty(body):
     return F.when(gid % 17 == 0, None).when(gid % 13 == 0, F.expr("left(body, length(body) - 3)")).when(gid % 7 == 0, '{"contests":[]}').when(gid % 11 == 0, decoy).otherwise(body)
 
 
-def _game_payloads(spark, d):
+def _game_payloads(spark, d, g=None):
     """(game_id, payload) of two-sided orders: a set per line, whose other side has half the score, a dash or none."""
-    g = _base(spark, d)
+    g = _base(spark, d) if g is None else g
     q, other = F.col("q").cast("string"), F.when(F.col("pk") % 4 == 0, "-").when(F.col("pk") % 4 > 1, F.floor(F.col("q") / 2).cast("string"))
     mine = F.col("team") == F.col("home")
     score = F.struct(F.col("pk").cast("string").alias("period"), F.when(mine, q).otherwise(other).alias("home"), F.when(mine, other).otherwise(q).alias("visit"))
@@ -42,9 +42,9 @@ def _game_payloads(spark, d):
     return body.select(F.col("gid").cast("string").alias("game_id"), _faulty(F.col("body")).alias("payload"))
 
 
-def _box_payloads(spark, d):
+def _box_payloads(spark, d, g=None):
     """(game_id, payload) of two-sided orders: stats and players of both sides, every fifth game only of the first."""
-    g = _base(spark, d).select("gid", "team_a", "team_b", "home")
+    g = (_base(spark, d) if g is None else g).select("gid", "team_a", "team_b", "home")
     player = F.struct(
         F.when(F.col("pk") % 9 != 0, F.col("flag") != "R").alias("participated"), F.lit("P").alias("firstName"), F.col("pk").cast("string").alias("lastName"), F.col("q").cast("string").alias("kills"),
     )
@@ -72,7 +72,8 @@ def dead_letters(spark, d):
 
 
 def _sides(spark, d):
-    return payloads.match_sides(payloads.game_records(_game_payloads(spark, d)), payloads.team_boxes(_box_payloads(spark, d)))
+    g = _base(spark, d)
+    return payloads.match_sides(payloads.game_records(_game_payloads(spark, d, g)), payloads.team_boxes(_box_payloads(spark, d, g)))
 
 
 def payload_sides(spark, d):

@@ -38,7 +38,9 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -46,6 +48,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that `stored` gave, once all that reads it is written itself."""
+    _written.remove(table.stored_at)
+    delete(table.sparkSession, table.stored_at)
+
+
 def release() -> int:
     """Delete all tables written so far, and return their number: for callers that no longer read a result of before."""
     spark, n = SparkSession.getActiveSession(), len(_written)

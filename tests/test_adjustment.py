@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pairlytics.operators import adjustment, metrics
+from pairlytics.operators import adjustment, lineage, metrics
 from pairlytics.queries import evaluation
 from pairlytics.queries.records import match_sides
 
@@ -77,3 +77,15 @@ def test_measures(spark):
         name = {"pts": "adj_net_points_set", "hit": "adj_hit_eff_diff", "rec": "adj_sideout_proxy"}[m]
         for team, w in want.items():
             assert abs(got[team][name] - col(w)) < 1e-8
+
+
+def test_many_blocks_and_no_table_left_of_each_round(spark, monkeypatch):
+    monkeypatch.setattr(adjustment, "BLOCK_PAIRS", 12)
+    r = random.Random(3)
+    rows = [(*(f"t{x}" for x in r.sample(range(9), 2)), r.random() < 0.5, r.uniform(0, 9)) for _ in range(40)]
+    df = spark.createDataFrame([*rows, (None, "t1", True, 1.0)], "team string, opp string, home boolean, u double")
+    before = len(lineage._written)
+    got = {x["team"]: x for x in adjustment.solve(df, ["u"]).collect()}
+    assert len(lineage._written) - before <= 4
+    for team, (off, dfn, n) in dense(rows).items():
+        assert abs(got[team]["u_off"] - off) < 1e-8 and abs(got[team]["u_def"] - dfn) < 1e-8 and got[team]["u_n"] == n

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import digests
 from .lineage import stored
 
 #: Penalty of all logistic weights, and bound of a sigmoid's argument.
 L2, CLAMP = 1e-3, 30.0
-#: Rows of a table that a range of scores of its resamples stands for, and rows of a shuffle that are sorted together.
-RANGE_SCORES, SORTED_ROWS = 200_000, 10_000
+#: Rows of a table that a range of scores of its resamples stands for, rows of a shuffle that are dealt with together, and places of a block of draws.
+RANGE_SCORES, SORTED_ROWS, PLACES = 200_000, 10_000, 1 << 15
+#: Deviations of a uniform digest's order statistic within which a shuffle's first group is looked for at first; all of the digest's range beyond.
+DEVIATIONS = 5.0
 
 
 def sigmoid(z: Column) -> Column:
@@ -76,8 +81,7 @@ def incremental_auc(fit: DataFrame, test: DataFrame, base: list[str], extra: str
     scored = test.select(F.col(place).alias("i"), F.col(label).alias("y"), *[v.alias(k) for k, v in scores.items()])
     scored = stored(scored)
     n = scored.count()
-    draws = scored.withColumn("rep", F.lit(0)).unionByName(resampled(scored, "i", resamples))  # replicate 0 is the table itself
-    both = auc_by(draws, "rep", "base", "y", scored).withColumnRenamed("auc", "auc_base").join(auc_by(draws, "rep", "full", "y", scored).withColumnRenamed("auc", "auc_full"), "rep")
+    both = resampled_aucs(scored, "i", ["base", "full"], "y", resamples)
     both = stored(both.withColumn("gain", F.col("auc_full") - F.col("auc_base")))  # one row a replicate
     low_high = interval(both.where("rep > 0 AND gain IS NOT NULL"), "gain").select("low", "high")
     return both.where("rep = 0").select(F.lit(n).cast("long").alias("n"), "auc_base", "auc_full", "gain").join(F.broadcast(low_high))  # one row each
@@ -113,12 +117,12 @@ def auc_by(rows: DataFrame, by: str, score: str, label: str, scores: DataFrame |
     return ranges.withColumn("_before", before).groupBy(by).agg(F.try_divide(total, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 
-def _range_of(scores: DataFrame | None, score: str) -> Column:
-    """Number of the range of a score, by cuts at approximate quantiles of a table; 0 if one range will do."""
-    n = 0 if scores is None else scores.count()
-    if n <= RANGE_SCORES:
+def _range_of(scores: DataFrame | None, score: str, size: int | None = None) -> Column:
+    """Number of the range of a score, by cuts at approximate quantiles of a table; 0 if one range of `size` rows (RANGE_SCORES) will do."""
+    n, size = 0 if scores is None else scores.count(), size or RANGE_SCORES
+    if n <= size:
         return F.lit(0)
-    parts = -(-n // RANGE_SCORES)
+    parts = -(-n // size)
     cuts = scores.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 10_000)).first()[0]
     return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(score)))
 
@@ -139,6 +143,99 @@ def resampled(rows: DataFrame, place: str, resamples: int) -> DataFrame:
     return draws.select("rep", drawn(F.col("rep"), F.col("_i"), F.lit(n)).alias(place)).join(rows, place)
 
 
+def resampled_aucs(rows: DataFrame, place: str, scores: list[str], label: str, resamples: int) -> DataFrame:
+    """(rep, auc_<score> of each score): Mann-Whitney per replicate of `resampled` and, as replicate 0, of rows itself; ties count half, null where a class is empty.
+
+    Draws travel packed. A task of some places makes their draws of all replicates, dealt by blocks of the places drawn, two bytes each; a block counts how often each
+    of its rows is drawn in each replicate and sends that along with the row, to its range of scores. A range sums up by itself, above the sums of the ranges before.
+    rows should be stored; `place` numbers them from 0.
+    """
+    n = rows.count()
+    block = lambda c: F.floor(c / PLACES).cast("int")
+    drawn_ = rows.select(F.col(place).cast("long").alias("i")).repartition(max(1, -(-n // PLACES)), block(F.col("i"))).mapInArrow(_draws(n, resamples), "block int, drawn binary")
+    held = rows.select(block(F.col(place)).alias("block"), F.col(place).cast("long").alias("i"), F.col(label).cast("int").alias("y"), *[F.col(s).cast("double").alias(s) for s in scores])
+    counts = stored(drawn_.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_counts(resamples, scores), "s int, score double, y int, times binary"))
+    cut = F.coalesce(*[F.when(F.col("s") == k, _range_of(rows.select(F.col(s).cast("double").alias("score")), "score", PLACES)) for k, s in enumerate(scores)])
+    ranges = counts.withColumn("r", cut).groupBy("s", "r").applyInArrow(_range_sums(resamples), "s int, r int, rep int, p long, n long, w double")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s", "rep").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    auc = F.try_divide(F.sum(F.col("w") + F.col("p") * F.col("before")), (F.sum("p") * F.sum("n")).cast("double"))
+    per = ranges.withColumn("before", before).groupBy("rep", "s").agg(auc.alias("auc"))
+    return per.groupBy("rep").agg(*[F.max(F.when(F.col("s") == k, F.col("auc"))).alias(f"auc_{s}") for k, s in enumerate(scores)])
+
+
+def _draws(n: int, resamples: int):
+    """(block, drawn): the replicates' draws of the places given, by block of the places drawn: number of draws of each replicate, then their places in the block."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PLACES):
+                texts = [b"%d" % i for i in batch.column(0).slice(at, PLACES).to_pylist()]
+                keys = digests.Keys(texts)
+                blocks = -(-n // PLACES)
+                sizes, parts = np.zeros((blocks, resamples), np.uint32), [[] for _ in range(blocks)]
+                for rep in range(1, resamples + 1):
+                    i = np.sort(keys.first32(b"%d|" % rep) .astype(np.int64) % n)
+                    ends = np.searchsorted(i, np.arange(1, blocks + 1) * PLACES)
+                    sizes[:, rep - 1] = np.diff(ends, prepend=0)
+                    small = (i % np.uint32(PLACES)).astype(np.uint16)
+                    for b in np.flatnonzero(sizes[:, rep - 1]).tolist():
+                        parts[b].append(small[ends[b] - sizes[b, rep - 1] : ends[b]])
+                used = [b for b in range(blocks) if parts[b]]
+                packed = [sizes[b].tobytes() + np.concatenate(parts[b]).tobytes() for b in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["block", "drawn"])
+
+    return draw
+
+
+def _counts(resamples: int, scores: list[str]):
+    """For each score's number s: a block's scores and labels with how often their rows are drawn, replicate 0 once a row, packed in the least width that will do."""
+
+    def count(drawn_: pa.Table, held: pa.Table) -> pa.Table:
+        place, y = held.column("i").to_numpy() % PLACES, held.column("y").to_numpy()
+        times = np.zeros((resamples + 1, PLACES), np.int32)
+        times[0] = 1
+        for raw in drawn_.column("drawn"):
+            raw = raw.as_py()
+            sizes = np.frombuffer(raw, np.uint32, resamples).astype(np.int64)
+            at = np.frombuffer(raw, np.uint16, offset=4 * resamples)
+            for rep, end in enumerate(np.cumsum(sizes).tolist(), 1):
+                times[rep] += np.bincount(at[end - sizes[rep - 1] : end], minlength=PLACES).astype(np.int32)
+        out = []
+        for k, s in enumerate(scores):
+            value = held.column(s).to_numpy()
+            order = np.lexsort((y, value))
+            v, u = value[order], y[order]
+            starts = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])))
+            summed = np.add.reduceat(times[:, place[order]], starts, axis=1)  # equal scores share a row, so a frequent one stays small
+            packed = np.ascontiguousarray(summed.T.astype(np.min_scalar_type(int(summed.max()))))
+            out.append(pa.table({"s": np.full(len(starts), k, np.int32), "score": v[starts], "y": u[starts].astype(np.int32), "times": pa.array([x.tobytes() for x in packed], pa.binary())}))
+        return pa.concat_tables(out)
+
+    return count
+
+
+def _range_sums(resamples: int):
+    """(s, r, rep, p, n, w) of a range of scores: positives and negatives drawn, and the pairs inside that are in order, ties half."""
+
+    def sums(rows: pa.Table) -> pa.Table:
+        score, y, times = rows.column("score").to_numpy(), rows.column("y").to_numpy(), rows.column("times")
+        order = np.argsort(score, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(score[order]) != 0))
+        cuts = np.unique(np.append(starts[np.minimum(np.searchsorted(starts, np.arange(0, len(order), 2048)), len(starts) - 1)], len(order)))
+        p, n, w = (np.zeros(resamples + 1, k) for k in (np.int64, np.int64, np.float64))
+        for a, b in zip(cuts, cuts[1:], strict=False):  # some whole scores at a time
+            raw = times.take(order[a:b]).to_pylist()
+            wide = np.stack([np.frombuffer(x, f"u{len(x) // (resamples + 1)}") for x in raw]).astype(np.int64)
+            first = starts[(starts >= a) & (starts < b)] - a
+            up, down = (np.add.reduceat(wide * (y[order[a:b]] == c)[:, None], first) for c in (1, 0))
+            w += (up * (np.cumsum(down, axis=0) - down + n + down / 2)).sum(axis=0)
+            p, n = p + up.sum(axis=0), n + down.sum(axis=0)
+        same = lambda c: np.full(resamples + 1, rows.column(c)[0].as_py(), np.int32)
+        return pa.table({"s": same("s"), "r": same("r"), "rep": np.arange(resamples + 1, dtype=np.int32), "p": p, "n": n, "w": w})
+
+    return sums
+
+
 def interval(values: DataFrame, value: str) -> DataFrame:
     """(n, low, high): the values at the places floor(.025 n) and floor(.975 n) - 1 of the sorted ones (resamples: a bounded number)."""
     v = F.array_sort(F.collect_list(value))
@@ -157,16 +254,73 @@ def permutation_gap(rows: DataFrame, key: str, group: str, value: str, trials: i
     real = pool.agg((F.avg(F.when(F.col("g") == 1, F.col("x"))) - F.avg(F.when(F.col("g") == 0, F.col("x")))).alias("gap"), F.sum("g").alias("n1"), F.count("*").alias("n"), F.sum("x").alias("s")).first()
     if real["gap"] is None:
         return pool.sparkSession.createDataFrame([(None, None)], "gap double, p double")
-    digits = max(2, math.ceil(math.log(max(1, real["n"] / SORTED_ROWS), 16)))
-    each = _times(pool, "trial", trials, real["n"]).withColumn("h", F.md5(F.concat_ws("|", "trial", "_key").cast("binary")))
-    each = each.select("trial", "h", "_key", "x", F.substring("h", 1, digits).alias("d"))
-    upto = F.sum("c").over(Window.partitionBy("trial").orderBy("d"))
-    cells = each.groupBy("trial", "d").agg(F.count("*").alias("c"), F.sum("x").alias("s")).withColumn("upto", upto).where(F.col("upto") - F.col("c") < real["n1"])
-    inside = cells.where(F.col("upto") <= real["n1"]).select("trial", F.col("s").alias("part"))
-    split = cells.where(F.col("upto") > real["n1"]).select("trial", "d", (real["n1"] - F.col("upto") + F.col("c")).alias("k"))
-    place = F.row_number().over(Window.partitionBy("trial").orderBy("h", "_key"))
-    edge = each.join(split, ["trial", "d"]).withColumn("place", place).where("place <= k").select("trial", F.col("x").alias("part"))
-    one = inside.unionByName(edge).groupBy("trial").agg(F.sum("part").alias("s1"))
-    gap = F.col("s1") / real["n1"] - (real["s"] - F.col("s1")) / (real["n"] - real["n1"])
+    n, n1 = real["n"], real["n1"]
+    one = _first_sums(pool, n, n1, trials)
+    gap = F.col("s1") / n1 - (real["s"] - F.col("s1")) / (n - n1)
     hits = F.count_if(F.round(F.abs(gap), 12) >= round(abs(real["gap"]), 12))
     return one.agg(F.lit(real["gap"]).alias("gap"), ((hits + 1) / (trials + 1)).alias("p"))
+
+
+def _first_sums(pool: DataFrame, n: int, n1: int, trials: int) -> DataFrame:
+    """(trial, s1): the sum of x over the first n1 of pool (_key, x) in the order of md5 of trial and key.
+
+    Digests are uniform, so the first group ends near the share n1 / n of their range. Rows surely before that are summed where they lie and only those
+    within DEVIATIONS of it are sent to be sorted; trials whose group ends elsewhere, by the counts, are sorted over the whole range.
+    """
+    wide = DEVIATIONS * (n1 / n * (1 - n1 / n) / n) ** 0.5
+    low, high = (min(1 << 32, max(0, int((n1 / n + d) * 2**32))) for d in (-wide, wide))
+    keys = pool.select(F.col("_key").cast("string").cast("binary").alias("key"), "_key", "x")
+    kept = stored(keys)
+    parts = min(n, math.ceil(n / SORTED_ROWS))
+    tasks = max(parts, min(trials, 4 * pool.sparkSession.sparkContext.defaultParallelism))
+    slices = -(-tasks // parts)  # a small table is dealt out by parts of the trials
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = dealt.select("part", "slice", "key", "x").repartition(tasks, "part", "slice")
+    kind = "trial int, low_n long, low_s double, near binary"
+    told = stored(dealt.groupBy("part", "slice").applyInArrow(_told(trials, slices, low, high), kind))
+    sums = told.groupBy("trial").applyInArrow(_placed(n1), "trial int, s1 double")
+    sums = stored(sums)
+    missed = sums.where("s1 IS NULL").select("trial")
+    one = sums.where("s1 IS NOT NULL")
+    if not missed.isEmpty():
+        each = kept.crossJoin(F.broadcast(missed)).withColumn("h", F.md5(F.concat(F.col("trial").cast("string"), F.lit("|"), F.col("key").cast("string")).cast("binary")))
+        place = F.row_number().over(Window.partitionBy("trial").orderBy("h", "_key"))
+        one = one.unionByName(each.withColumn("place", place).where(F.col("place") <= n1).groupBy("trial").agg(F.sum("x").alias("s1")))
+    return one
+
+
+def _told(trials: int, slices: int, low: int, high: int):
+    """Of some keys and each trial of a slice: how many digests are below `low`, the sum of their x, and digest, key and x of those up to `high`."""
+
+    def tell(rows: pa.Table) -> pa.Table:
+        first = rows.column("slice")[0].as_py() + 1
+        texts = rows.column("key").to_pylist()
+        x = rows.column("x").to_numpy()
+        keys, out = digests.Keys(texts), []
+        for trial in range(first, trials + 1, slices):
+            words = keys.words(b"%d|" % trial)
+            h = words[0].astype(np.int64)
+            below, near = h < low, np.flatnonzero((h >= low) & (h <= high))
+            found = words[:, near].astype(np.uint32)
+            out.append((trial, int(below.sum()), float(x[below].sum()), found.tobytes() + x[near].tobytes()))
+        t, c, s, b = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({"trial": pa.array(t, pa.int32()), "low_n": pa.array(c, pa.int64()), "low_s": pa.array(s, pa.float64()), "near": pa.array(b, pa.binary())})
+
+    return tell
+
+
+def _placed(n1: int):
+    """The sum of a trial's first n1; null where they don't end among those sent."""
+
+    def place(rows: pa.Table) -> pa.Table:
+        want = n1 - sum(rows.column("low_n").to_pylist())
+        raw = rows.column("near").to_pylist()
+        words = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 24 * 4).reshape(4, -1) for b in raw], axis=1)
+        x = np.concatenate([np.frombuffer(b, np.float64, offset=len(b) // 24 * 16) for b in raw])
+        s1 = None
+        if 0 <= want <= len(x):
+            order = np.lexsort(words[::-1])[:want]
+            s1 = sum(rows.column("low_s").to_pylist()) + float(x[order].sum())
+        return pa.table({"trial": pa.array([rows.column("trial")[0].as_py()], pa.int32()), "s1": pa.array([s1], pa.float64())})
+
+    return place

@@ -118,7 +118,7 @@ def match_auc(spark, d):
 
 def auc_bootstrap_md5(spark, d):
     s = stored(ranked(_scored(spark, d).withColumn("o", -F.col("gid")), "o", "gid", "i").select((F.col("i") - 1).alias("i"), "score", "y"))
-    out = models.interval(models.auc_by(models.resampled(s, "i", RESAMPLES), "rep", "score", "y", s).withColumn("auc", F.round("auc", 6)).where("auc IS NOT NULL"), "auc")
+    out = models.interval(models.resampled_aucs(s, "i", ["score"], "y", RESAMPLES).where("rep > 0").select(F.round("auc_score", 6).alias("auc")).where("auc IS NOT NULL"), "auc")
     return out.select("n", "low", "high")
 
 

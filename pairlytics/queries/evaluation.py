@@ -17,12 +17,25 @@ TRIALS, RESAMPLES, SLOTS = 20_000, 600, (1, 8, 4, 5, 2, 7, 3, 6)
 DEPTH = 12  # rounds that the SQL of the bracket spells out
 
 
+def _games(spark, d):
+    """All games, written once for a query that reads them in several places: lines and orders are read a single time."""
+    return stored(pairwise.games(spark, d))
+
+
 def _rpi(spark, d):
-    return ratings.rpi(pairwise.edges(spark, d)).select("team", "wp", "owp", "rpi")
+    return _rpi_of(pairwise.games(spark, d))
+
+
+def _rpi_of(games):
+    return ratings.rpi(pairwise.edges_of(games)).select("team", "wp", "owp", "rpi")
 
 
 def _margins(spark, d):
-    return match_sides(spark, d).groupBy("team").agg((F.sum(F.col("pf") - F.col("pa")) / F.sum("sets")).alias("margin"))
+    return _margins_of(pairwise.games(spark, d))
+
+
+def _margins_of(games):
+    return M.sides(M.decided(games)).groupBy("team").agg((F.sum(F.col("pf") - F.col("pa")) / F.sum("sets")).alias("margin"))
 
 
 def net_points_raw(spark, d):
@@ -74,23 +87,29 @@ def split_runner(spark, d):
     return out.select("split", "metric", "n_fit", "n", F.round("accuracy", 6).alias("accuracy"), F.round("auc", 6).alias("auc"), "rank", "shift")
 
 
-def _weights(spark, d):
-    m = ratings_table(spark, d)
-    z = models.standardised(models.differences(matches(spark, d), m, ["rpi", "margin"]), ["d_rpi", "d_margin"])
+def _weights(games, m):
+    z = models.standardised(models.differences(M.decided(games), m, ["rpi", "margin"]), ["d_rpi", "d_margin"])
     return models.logistic(z, ["z_d_rpi", "z_d_margin"], "y")
 
 
 def ratings_table(spark, d):
-    return _rpi(spark, d).join(_margins(spark, d), "team")
+    return _ratings_of(_games(spark, d))
+
+
+def _ratings_of(games):
+    return stored(_rpi_of(games).join(_margins_of(games), "team"))
 
 
 def logistic_weights(spark, d):
-    return spark.createDataFrame(list(zip(("intercept", "rpi", "margin"), (round(w, 5) for w in _weights(spark, d)), strict=True)), "name string, weight double")
+    games = _games(spark, d)
+    return spark.createDataFrame(list(zip(("intercept", "rpi", "margin"), (round(w, 5) for w in _weights(games, _ratings_of(games))), strict=True)), "name string, weight double")
 
 
 def composite_rating(spark, d):
-    w = _weights(spark, d)
-    z = models.standardised(ratings_table(spark, d), ["rpi", "margin"])
+    games = _games(spark, d)
+    table_ = _ratings_of(games)
+    w = _weights(games, table_)
+    z = models.standardised(table_, ["rpi", "margin"])
     out = z.withColumn("composite", w[1] * F.col("z_rpi") + w[2] * F.col("z_margin"))
     return ranked(out, "composite", "team").select("team", F.round("composite", 4).alias("composite"), "rank")
 
@@ -103,7 +122,8 @@ def adj_score(spark, d, sos_weight: float = 2.0):
 
 
 def _scored(spark, d):
-    return models.differences(matches(spark, d), _rpi(spark, d), ["rpi"]).withColumn("score", F.round("d_rpi", 10))
+    games = _games(spark, d)
+    return models.differences(M.decided(games), _rpi_of(games), ["rpi"]).withColumn("score", F.round("d_rpi", 10))
 
 
 def metric_accuracy(spark, d):
@@ -175,7 +195,8 @@ def brier(spark, d):
 
 
 def _with_margin(spark, d):
-    return models.differences(matches(spark, d), _margins(spark, d), ["margin"])
+    games = _games(spark, d)
+    return models.differences(M.decided(games), _margins_of(games), ["margin"])
 
 
 def series_length(spark, d):

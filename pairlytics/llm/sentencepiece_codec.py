@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
-CACHE_CHUNKS, CACHE_CHARS = 150_000, 64
-BATCH_BYTES = 4 << 20
+CACHE_CHUNKS, CACHE_CHARS = 60_000, 64
+BATCH_BYTES = 1 << 20
 
 
 class CharacterMap:
@@ -226,7 +226,11 @@ def _encode_batches(path: str):
                 coded = codec.encode([t.as_py() or b"" for t in part.column(0)])
                 offsets = pa.array(np.cumsum([0, *(len(x[0]) for x in coded)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in coded]).astype(np.int32))) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *lists, pa.array([x[3] for x in coded], pa.string())], names=[*part.schema.names[1:], *names])
+                decoded = pa.array([x[3] for x in coded], pa.string())
+                del coded  # a part's arrays go before the next part's are made
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *lists, decoded], names=[*part.schema.names[1:], *names])
+                del lists, decoded
+        pa.default_memory_pool().release_unused()  # a worker lives on for later stages
 
     return run
 
